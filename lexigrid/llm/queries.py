@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import kd_sharding, pfair_mixing
+from lexigrid.llm import kd_sharding, odd_minhash, pfair_mixing
 
 QUERIES = {
     "op2_pfair_mix": pfair_mixing.op2,
     "op5_kd_shards": kd_sharding.op5,
+    "op9_odd_minhash": odd_minhash.op9,
 }
 
 ORACLES: dict[str, str] = {}
