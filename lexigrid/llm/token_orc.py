@@ -4,9 +4,9 @@ Each file holds a range of document ids in order; ids are integer run-length
 encoded, stripes are read in parallel, and row indexes and Bloom filters on the
 document id let a reader skip stripes and row groups.
 
-Pre-tokens of a byte-level BPE never span a single space between two other
-characters, so a text is cut there and equal pieces are encoded once a worker. A
-text with any other use of spaces is encoded as a whole.
+Pre-tokens of a byte-level BPE never span a single space or line feed between two
+other characters, so a text is cut there and equal pieces are encoded once a
+worker. A text with any other use of spaces and line feeds is encoded as a whole.
 """
 
 from __future__ import annotations
@@ -30,22 +30,28 @@ from lexigrid.llm._shared import cut, shared_dir, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: How the files are laid out; the stripe size is in bytes, the stride in rows.
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": "67108864", "orc.row.index.stride": "2000"}
 
 _OTHER_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
-_NOT_SINGLE = re.compile(r"^ | \Z| \s|\s ")
+_NOT_SINGLE = re.compile(r"[ \n]\s|\s[ \n]")
 
 
 class _Pieces(dict):
-    """Piece to row. A piece stands for itself with a space before it; ``flat`` holds the ids, end to end."""
+    """Piece to row; ``flat`` holds the ids, end to end.
+
+    A piece that begins with a line feed stands for itself, any other for itself
+    with a space before it.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.feed = self.encode(["\n"])[0]
+        self.tails = {c: self.encode([c])[0] for c in ".,;:!?"}
         self.reset()
 
     def reset(self) -> None:
@@ -61,14 +67,34 @@ class _Pieces(dict):
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode_lines(self, lines: list[str]) -> list[np.ndarray]:
+        """The ids of lines (none of which holds a line feed), many in a call: they are joined by line feeds and the ids cut at those."""
+        if len(self.feed) != 1:
+            return [np.array(x, np.int32) for x in self.encode(lines)]
+        out: list[np.ndarray] = []
+        for ids in self.encode(["\n".join(lines[at : at + 256]) for at in range(0, len(lines), 256)]):
+            row = np.array(ids, np.int32)
+            cuts = np.flatnonzero(row == self.feed[0])
+            out += [row[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(row)], strict=True)]
+        return out
+
     def settle(self) -> None:
+        """Encode the pieces that were met since the last call. A word's final stop or comma is a pre-token of its own."""
         if not self.new:
             return
-        ids = self.encode([" " + p for p in self.new])
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        stems = [p[:-1] if p[-1] in self.tails and p[-2:-1].isalnum() else p for p in self.new]
+        wanted = list(dict.fromkeys(stems))
+        head = [w for w in wanted if w[0] == "\n"]
+        other = [w for w in wanted if w[0] != "\n"]
+        ids = dict(zip(head, self._encode_lines([w[1:] for w in head]), strict=True)) if head else {}
+        ids |= dict(zip(other, self._encode_lines([" " + w for w in other]), strict=True)) if other else {}
+        feed, none = np.array(self.feed, np.int32), np.empty(0, np.int32)
+        tails = {c: np.array(t, np.int32) for c, t in self.tails.items()}
+        parts = [x for p, s in zip(self.new, stems, strict=True) for x in (feed if p[0] == "\n" else none, ids[s], tails[p[-1]] if s is not p else none)]
+        counts = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 3).sum(axis=1)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
         self.count = np.concatenate([self.count, counts])
-        self.flat = np.concatenate([self.flat, np.fromiter((t for x in ids for t in x), np.int32, int(counts.sum()))])
+        self.flat = np.concatenate([self.flat, *parts])
         self.new = []
 
 
@@ -80,8 +106,8 @@ def _pieces(path: str) -> _Pieces:
 
 
 def only_single_spaces(text: str) -> bool:
-    """Whether every space has a character other than white space on both sides."""
-    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " ":
+    """Whether every space and line feed has a character other than white space on both sides."""
+    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
         return False
     return not (_OTHER_SPACE.search(text) and _NOT_SINGLE.search(text))
 
@@ -89,22 +115,24 @@ def only_single_spaces(text: str) -> bool:
 def encode_texts(texts: list[str | None], tokenizer: str = TOKENIZER) -> Iterator[np.ndarray]:
     """The ids of each text (null as empty) and END_ID after them."""
     pieces = _pieces(tokenizer)
-    for at in range(0, len(texts), 512):
+    for at in range(0, len(texts), 2048):
         if len(pieces) >= REMEMBERED:
             pieces.reset()
-        part = [t or "" for t in texts[at : at + 512]]
-        single = [only_single_spaces(t) for t in part]
-        split = [t.split(" ") if s else [t] for t, s in zip(part, single, strict=True)]
-        heads = pieces.encode([s[0] for s in split])
-        rows = [np.fromiter(map(pieces.__getitem__, s[1:]), np.int64, len(s) - 1) for s in split]
+        part = [t or "" for t in texts[at : at + 2048]]
+        split = [("\n" + t).replace("\n", " \n")[1:].split(" ") if only_single_spaces(t) else None for t in part]
+        whole = iter(pieces.encode([t for t, s in zip(part, split, strict=True) if s is None]))
+        rows = [None if s is None else np.fromiter(map(pieces.__getitem__, s), np.int64, len(s)) for s in split]
         pieces.settle()
-        for head, own in zip(heads, rows, strict=True):
+        for own in rows:
+            if own is None:
+                yield np.array([*next(whole), END_ID], np.int32)
+                continue
             counts = pieces.count[own]
             ends = np.cumsum(counts)
-            total = int(ends[-1]) if len(own) else 0
-            out = np.empty(len(head) + total + 1, np.int32)
-            out[: len(head)] = head
-            out[len(head) : -1] = pieces.flat[np.arange(total) + np.repeat(pieces.start[own] - (ends - counts), counts)]
+            total = int(ends[-1])
+            out = np.empty(total - len(pieces.feed) + 1, np.int32)
+            # the line feed that was put before the first line is left out
+            out[:-1] = pieces.flat[np.arange(total) + np.repeat(pieces.start[own] - (ends - counts), counts)][len(pieces.feed) :]
             out[-1] = END_ID
             yield out
 
