@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import blob_ledger, fertility_rules, kd_sharding, kn_langid, odd_minhash, pfair_mixing, token_orc
+from lexigrid.llm import blob_ledger, fertility_rules, host_paths, kd_sharding, kn_langid, odd_minhash, pfair_mixing, token_orc
 
 QUERIES = {
     "op1_kn_langid": kn_langid.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_fertility_rules": fertility_rules.op3,
     "op5_kd_shards": kd_sharding.op5,
     "op6_token_orc": token_orc.op6,
+    "op7_host_paths": host_paths.op7,
     "op8_blob_ledger": blob_ledger.op8,
     "op9_odd_minhash": odd_minhash.op9,
 }
