@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import blob_ledger, fertility_rules, host_paths, kd_sharding, kn_langid, odd_minhash, pfair_mixing, token_orc
+from lexigrid.llm import blob_ledger, fertility_rules, host_paths, kd_sharding, kn_langid, odd_minhash, pfair_mixing, simhash_leaks, token_orc
 
 QUERIES = {
     "op1_kn_langid": kn_langid.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_host_paths": host_paths.op7,
     "op8_blob_ledger": blob_ledger.op8,
     "op9_odd_minhash": odd_minhash.op9,
+    "op10_simhash_leaks": simhash_leaks.op10,
 }
 
 ORACLES: dict[str, str] = {}
