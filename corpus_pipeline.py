@@ -1 +1,53 @@
-def run(spark, sf_dir): ...
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, source mixing, sharding.
+
+Each stage reads what the one before it wrote. The first three drop documents, the
+fourth orders them by the mixing schedule (its output files follow the slots), the
+last assigns shards and returns one row a document: doc_id, size, text_crc32,
+shard and slot. SQL cannot express the stages, so ``ORACLE_SQL`` is None and tests
+compare with brute force.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from lexigrid.llm import fertility_rules, kd_sharding, odd_minhash, pfair_mixing, simhash_leaks
+from lexigrid.llm._shared import cut, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return fertility_rules.keep_fluent(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return odd_minhash.drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_leaks.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pfair_mixing.in_mixed_order(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return kd_sharding.shard_documents(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("shard", shard),
+]
+
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -196,5 +196,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay (the smallest id of each group), with the columns they came with."""
+    gone = cut(near_duplicates(docs, size, percent).filter("NOT kept").select("doc_id").distinct(), "duplicates")
+    return join_small(docs, gone, ["doc_id"], "left_anti")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)

@@ -91,15 +91,19 @@ def schedule(spark: SparkSession, segments: list[dict], period: int = PERIOD) ->
     ).filter("have > 0")
 
 
-def mix_documents(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mix_documents(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, carry: bool = False) -> DataFrame:
     """Place all rows of ``docs`` (doc_id, source): block, slot, release, deadline and place in the block.
 
+    With ``carry`` the input row comes along as the struct ``row``.
+
     A null source counts as the source named ''. A source without a target weight
     gets the smallest one given. Repeated rows are placed each; rows equal in id
     and source are interchangeable. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"))
+    extra = [F.struct(*docs.columns).alias("row")] if carry else []
+    rows = docs.select("doc_id", F.coalesce(F.col("source"), F.lit("")).alias("source"), *extra)
+    carried = ["row"] if carry else []
     counts = {r.source: r.n for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -111,16 +115,21 @@ def mix_documents(docs: DataFrame, weights: Mapping[str, float] | None = None, b
         used = {k: n**SMOOTHING for k, n in counts.items()}
     segments = plan_segments({k: -(-n // block_rows) for k, n in counts.items()}, used, period)
     if not segments:
-        return rows.selectExpr("doc_id", "source", "0L AS block", "0L AS slot", "0L AS release", "0L AS deadline", "0 AS place").filter("false")
+        return rows.selectExpr("doc_id", "source", "0L AS block", "0L AS slot", "0L AS release", "0L AS deadline", "0 AS place", "0 AS segment", *carried).filter("false")
     numbered = gapless_index(rows.withColumn("_lx_h", F.xxhash64("doc_id", "source")), ["source"], ["_lx_h", "doc_id"], "n")
-    blocks = numbered.selectExpr("doc_id", "source", f"n DIV {block_rows} AS block", f"CAST(n % {block_rows} AS INT) AS place")
+    blocks = numbered.selectExpr("doc_id", "source", f"n DIV {block_rows} AS block", f"CAST(n % {block_rows} AS INT) AS place", *carried)
     at = F.broadcast(schedule(spark, segments, period))  # at most 2 * MAX_SOURCES * MAX_SOURCES rows, PERIOD offsets a segment
     joined = blocks.join(at, (blocks.source == at.source) & (F.col("block") >= F.col("start")) & (F.col("block") < F.col("stop"))).drop(at.source)
     return joined.selectExpr("*", "(block - start) DIV have AS cycle", "CAST((block - start) % have AS INT) AS k").selectExpr(
         "doc_id", "source", "block", "segment_slot + cycle * length + offsets[k] AS slot",
-        f"segment_slot + cycle * length + k * {period} DIV q AS release", f"segment_slot + cycle * length + ((k + 1) * {period} + q - 1) DIV q AS deadline", "place", "segment",
+        f"segment_slot + cycle * length + k * {period} DIV q AS release", f"segment_slot + cycle * length + ((k + 1) * {period} + q - 1) DIV q AS deadline", "place", "segment", *carried,
     )
 
 
+def in_mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """The rows of ``docs``, with the columns they came with, sorted by slot: files written from it follow the schedule."""
+    return mix_documents(docs, weights, carry=True).orderBy("slot", "place").select("row.*")
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(table(spark, sf_dir, "documents"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexigrid.llm import blob_ledger, fertility_rules, host_paths, kd_sharding, kn_langid, odd_minhash, pfair_mixing, simhash_leaks, token_orc
+from lexigrid.llm import blob_ledger, fertility_rules, host_paths, kd_sharding, kn_langid, odd_minhash, pfair_mixing, simhash_leaks, surrogates, token_orc
 
 QUERIES = {
     "op1_kn_langid": kn_langid.op1,
     "op2_pfair_mix": pfair_mixing.op2,
     "op3_fertility_rules": fertility_rules.op3,
+    "op4_surrogates": surrogates.op4,
     "op5_kd_shards": kd_sharding.op5,
     "op6_token_orc": token_orc.op6,
     "op7_host_paths": host_paths.op7,
