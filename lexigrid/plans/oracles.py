@@ -218,4 +218,5 @@ ORACLES: dict[str, str] = {
     "echo_tallies": """WITH t AS (SELECT lower(coalesce(text, '')) AS x FROM conversations), o AS (SELECT CASE WHEN trim(x) = '' THEN 'abstained' WHEN contains(x, ' of ') THEN 'cited_decoy' WHEN contains(x, ' the ') THEN 'cited_positive' ELSE 'rejected' END AS o FROM t)
       SELECT count(*) AS n, count(*) FILTER (o = 'cited_positive') AS cited_positive, count(*) FILTER (o = 'cited_decoy') AS cited_decoy, count(*) FILTER (o = 'abstained') AS abstained, count(*) FILTER (o = 'rejected') AS rejected FROM o""",
     "corpus_hash": "SELECT sha256(string_agg(lpad(CAST(item_id AS VARCHAR), 12, '0') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY item_id)) AS corpus_hash, count(*) AS n FROM benchmark",
+    "stream_ingest": f"WITH {_DOCS} SELECT source, {_fp('content')} AS fingerprint, CAST(length(content) AS INT) AS n_chars FROM docs",
 }

@@ -11,6 +11,7 @@ from lexigrid.functions import urls, vectors
 from lexigrid.operators import chunking, citations, context, dense, evaluation, fusion, ingest, lexical
 from lexigrid.operators.html_text import html_text as to_text
 from lexigrid.operators.redaction import redacted, restored
+from lexigrid.streaming.ingest import stream_ingest
 
 K = 10
 #: Width of the test embedder in queries that compare all windows.
@@ -362,7 +363,7 @@ NAMES = (
     result_citations, snippets, dense_topk, dense_threshold, dense_label_filter, hash_embed_docs, rrf_two_lists, hybrid_windows, sigmoid_rerank,
     gold_spans, gold_chunks, recall_at_k, mrr, ndcg_at_10, stage_by_category, stage_delta, percentile_nearest_rank, token_overlap, abstention,
     changed_sources, pruned_sources, upsert_merge, orphan_chunks, ingest_report, citation_verdicts, html_text, url_refusals, credential_params,
-    context_budget, framed_context, pii_counts, redacted_docs, marker_parse, verdict_parse, answer_tallies, echo_tallies, corpus_hash,
+    context_budget, framed_context, pii_counts, redacted_docs, marker_parse, verdict_parse, answer_tallies, echo_tallies, corpus_hash, stream_ingest,
 )
 
 QUERIES = {f.__name__: f for f in NAMES}
