@@ -1,0 +1,190 @@
+"""Operators that look at one text at a time."""
+
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from lexigrid.llm import blob_ledger, fertility_rules, host_paths, kn_langid, surrogates, token_orc
+from lexigrid.llm._shared import cut, table
+
+
+def base_counts(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    covered = {i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)}
+    seen, dup = set(), 0
+    for line in (t or "").split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), dup, len(covered)
+
+
+def test_base_counts_equal_brute_force(texts):
+    r = random.Random(2)
+    made = [" ".join(r.choice("abc") for _ in range(r.randint(0, 40))).replace("a b", "a\nb") for _ in range(300)] + list(texts.values()) + [None, "", "\n\n", "é x y", "#|<>$%&*"]
+    got = fertility_rules.measure(made, [None] * len(made))
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    assert [tuple(x) for x in got[names].itertuples(index=False)] == [base_counts(t) for t in made]
+    n, repeats = got["n_words"], got["n_repeat_words"]
+    assert (got["base_failed"] == ((n < 10) | (100 * repeats > 20 * n))).all() and not (got["kept"] & got["base_failed"]).any()
+
+
+def test_fertility_by_script():
+    texts = ["The quick brown fox jumps over the lazy dog near the old river bank today and then sleeps under trees until morning light comes back. " * 2, "zxqv " * 2 + "꧁꧂ꙮ꙰ꙁ " * 60]
+    texts[0] = "The history of the town began when settlers built a mill near the river and opened a market for farmers from nearby villages."
+    got = fertility_rules.measure(texts, ["en", None])
+    assert got["kept"].tolist() == [True, False] and got["byte_share"][1] > got["byte_share"][0]
+
+
+def test_rules_in_spark(spark, odd, empty):
+    kept = fertility_rules.keep_fluent(odd)
+    assert kept.columns == odd.columns and set(kept.toPandas()["doc_id"].dropna().astype(int)) >= {5, 6, 10, 20}
+    assert fertility_rules.keep_fluent(empty).collect() == []
+
+
+def test_ledger_equals_the_plain_contract(spark, odd, empty):
+    r = random.Random(8)
+    parts = ["password", "Secret", "api_key", "APIKEY", "token", " = ", ":", '"', "'", " ", "abcdefghijklmnop", "short", "AKIA", "ABCDEFGHIJKLMNOPQ12", "0123456789abcdef", "ſecret", "é", "\n", "=", "passwd"]
+    made = ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(400)] + [None, "", "password=" + "x" * 50_000]
+    df = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(made)], "doc_id long, text string").union(odd.select("doc_id", "text"))
+    ledger = cut(blob_ledger.scan_unseen(df), "ledger")
+    rows = blob_ledger.digest(blob_ledger.findings_by_path(df, ledger)).collect()
+    assert len(rows) == df.count()
+    plain = {x.doc_id: blob_ledger.reference_digest(x.text) for x in df.collect()}
+    assert all((x.n_assign, x.n_access, x.n_hex, x.base_sha256) == plain[x.doc_id] for x in rows)
+    assert ledger.count() == df.select("text").na.fill("").distinct().count(), "one scan of each blob"
+    assert blob_ledger.scan_unseen(df, ledger).isEmpty(), "nothing is scanned twice"
+    assert blob_ledger.scan_unseen(df.union(spark.createDataFrame([(99_999, "a new text")], "doc_id long, text string")), ledger).count() == 1
+    assert blob_ledger.scan_unseen(empty).isEmpty()
+
+
+def test_a_new_rule_version_scans_only_itself(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "0123456789abcdef"), (2, "none")], "doc_id long, text string")
+    ledger = cut(blob_ledger.scan_unseen(df), "ledger")
+    newer = tuple((k, v + (k == "hex"), *rest) for k, v, *rest in blob_ledger.RULES)
+    monkeypatch.setattr(blob_ledger, "RULES", newer)
+    again = blob_ledger.scan_unseen(df, ledger).collect()
+    assert len(again) == 2 and {tuple(x) for row in again for x in row.rules} == {("hex", 2)}
+
+
+def test_token_orc_round_trip(spark, odd, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    token_orc.write_token_orc(odd, path)
+    got = token_orc.read_token_orc(spark, path).orderBy("start").collect()
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = sorted(((-1 if r.doc_id is None else r.doc_id), r.text) for r in odd.select("doc_id", "text").fillna("").collect())
+    start = 0
+    for r, (d, t) in zip(got, rows, strict=True):
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        assert (-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    one = spark.read.orc(path).filter("doc_id = 5")
+    assert "EqualTo(doc_id,5)" in one._jdf.queryExecution().toString() and one.count() == 1
+
+
+def test_pieces_equal_whole_texts():
+    r = random.Random(1)
+    parts = [" ", " ", "\n", "\t", "a", "B", "'s", "é", "1", "!", ",", ".", " ", "　", "<|endoftext|>", "日", "word", "\r", "🙂", "don't", "\x1c", "\x85"]
+    made = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(5000)]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert [e.ids + [0] for e in tokenizer.encode_batch(made, add_special_tokens=False)] == [x.tolist() for x in token_orc.encode_texts(made)]
+
+
+def test_language_models(spark, sf, odd, empty):
+    got = kn_langid.op1(spark, sf).toPandas()
+    truth = table(spark, sf, "documents").select("doc_id", "lang").toPandas()
+    both = got.merge(truth, on="doc_id")
+    assert len(both) == len(truth) and (both[both.held_out].lang == both[both.held_out].lang_pred).mean() > 0.97
+    assert got.score.between(0, 1).all() and (got.held_out == [zlib.crc32(str(d).encode()) % 3 == 1 for d in got.doc_id]).all()
+    model = kn_langid.fit(table(spark, sf, "documents"))
+    own = {r.doc_id: r for r in kn_langid.predict(odd, model).collect()}
+    assert own[1].lang_pred == own[2].lang_pred == own[3].lang_pred == "und" and own[5].lang_pred != "und" and own[7].rejected
+    assert kn_langid.predict(empty, model).collect() == [] and kn_langid.fit(empty) is None
+    assert {r.lang_pred for r in kn_langid.predict(odd, None).collect()} == {"und"}
+
+
+def test_kneser_ney_sums_to_one():
+    codes, counts = np.unique(kn_langid.gram_codes(["abra cadabra", "ein Haus am See"])[0], return_counts=True)
+    model = kn_langid.kneser_ney({"x": (codes, counts)})
+    letters = np.unique(codes & np.uint64(0xFFFF))
+    for context in np.unique(codes >> np.uint64(16))[:10]:
+        p = 0.0
+        for c in letters:
+            code, log = (context << np.uint64(16)) | c, 0.0
+            for n in range(4, 0, -1):
+                part = np.array([code & kn_langid._LOW[n] if n < 4 else code])
+                at = model.grams[n - 1].find(part)[0]
+                if at >= 0:
+                    log += model.grams[n - 1].rows[at, 0]
+                    break
+                held = model.backoff[n - 1].find(part >> np.uint64(16))[0]
+                log += model.backoff[n - 1].rows[held, 0] if held >= 0 else 0.0
+            p += np.exp(log)
+        assert 0.9 < p <= 1.001  # the rest is the share of characters that were never seen
+
+
+PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><header><p>Site name and a claim</p></header><nav><ul><li><a href=/>Home</a></ul></nav>
+<div class="content-12"><h1>Title &amp; more</h1><p>First   <b>bold</b> text, which is long enough.<br>Next.<script>var t="</p>"</script><p>Second &lt;para&gt; with words.</p><div class="ad">Buy</div><ul><li>one</li><li>two</li></ul>
+<div id="comments"><p>Reader says a lot of words here, really very many of them.</p></div><form>Name</form></div><aside>Side</aside><footer>&copy; x</footer>"""
+
+
+def test_main_text_of_pages(spark):
+    want = "Title & more\n\nFirst bold text, which is long enough. Next.\n\nSecond <para> with words.\n\none\n\ntwo"
+    rows = [(i, f"https://h.example/{i}", PAGE.replace("content-12", f"content-{i}")) for i in range(9)]
+    rows += [(20, "https://h.example/odd", "<body><p>Only a paragraph of its own kind."), (21, None, None), (22, "x", ""), (23, "https://h.example/9", "plain words"), (24, "https://u@H.example:80/", PAGE), (24, "https://u@H.example:80/", PAGE)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'e' AS text", "'e' AS paths")
+    got = host_paths.extract(df).collect()
+    by = {r.page_id: r.text for r in got}
+    assert len(got) == len(rows) and all(by[i] == want for i in (*range(9), 24))
+    assert by[20] == "Only a paragraph of its own kind." and by[21] == by[22] == "" and by[23] == "" or by[23] == "plain words"
+    assert all(r.n_chars == len(r.text) for r in got)
+    assert host_paths.extract(df.limit(0)).collect() == []
+    assert [r.paths for r in host_paths.winning_paths(df.filter("page_id < 9")).collect()] == [["html/body/div.content"]]
+
+
+def luhn(x):
+    d = [int(c) for c in re.sub(r"\D", "", x)][::-1]
+    return sum(c if k % 2 == 0 else (c * 2 - 9 if c > 4 else c * 2) for k, c in enumerate(d)) % 10 == 0
+
+
+def test_surrogates(spark, odd, empty):
+    rows = [
+        (1, "Write to Anna.Smith42@Mail.example.com or anna.smith42@mail.example.com, not bob@x.org."), (2, "Call +1 (017) 555-7713 or (017) 555-7713; card 4111 1111 1111 1111, 4111111111111111, host 97.51.17.173."),
+        (3, "Mrs. Jane Doe met Herr Karl Weiß and Госпожа Иванова; 123-45-6789; DE89 3704 0044 0532 0130 00"), (4, None), (5, ""), (6, "nothing 1.2 here 12-3"), (7, "card 1234567890123456"),
+    ]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    a, b, c = re.findall(r"\S+@\S+[a-z]", got[1].text)
+    assert a.lower() == b and c != b and a.endswith(".com") and c.endswith(".org") and re.fullmatch(r"[A-Z][a-z]{3}\.[A-Z][a-z]{4}\d\d@[A-Z][a-z]{3}\.[a-z]{7}\.com", a)
+    first, second = re.findall(r"\(\d{3}\) \d{3}-\d{4}", got[2].text)
+    assert first == second != "(017) 555-7713" and "+1 (" in got[2].text
+    spaced, bare = re.search(r"card ([\d ]{19}), (\d{16})", got[2].text).groups()
+    assert spaced.replace(" ", "") == bare != "4111111111111111" and luhn(bare) and bare[0] == "4"
+    assert not luhn(re.search(r"\d{16}", got[7].text)[0])
+    assert all(0 < int(x) < 256 for x in re.search(r"host ([\d.]+)\.", got[2].text)[1].split("."))
+    names = re.match(r"Mrs\. (\w+) (\w+) met Herr (\w+) (\w+) and Госпожа (\w+);", got[3].text)
+    assert names[1] in surrogates.GIVEN["latin_f"] and names[3] in surrogates.GIVEN["latin_m"] and re.fullmatch("[А-Я][а-я]+", names[5]) and "Doe" not in got[3].text
+    assert got[4].text is None and got[5].text == "" and got[6].text == rows[5][1] and got[6].n_entities == 0
+    assert surrogates.replace_entities(odd, "k").count() == odd.count() and surrogates.replace_entities(empty, "k").collect() == []
+    other = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k2").collect()}
+    assert other[2] != got[2].text
+
+
+def test_surrogates_stay_distinct(spark, monkeypatch):
+    """With a tiny space of surrogates many collide; all entities must still differ, and mentions of one agree."""
+    values = [f"{a}-{b}" for a in ("11 11", "22 11", "33 11") for b in ()] or [f"({n:02d}) {n:03d} {n:03d}" for n in range(60)]
+    rows = [(i, f"tel {v} and {values[(i * 7) % 60]} end") for i, v in enumerate(values)]
+    draw = surrogates._digest
+    monkeypatch.setattr(surrogates, "_digest", lambda key, kind, what, attempt: draw(key, kind, surrogates.F.pmod(surrogates.F.xxhash64(what), surrogates.F.lit(25)).cast("string"), attempt))
+    got = {r.doc_id: re.findall(r"\(\d\d\) \d{3} \d{3}", r.text) for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    drawn = {}
+    for i, (x, y) in got.items():
+        for value, s in ((values[i], x), (values[(i * 7) % 60], y)):
+            assert drawn.setdefault(value, s) == s
+    assert len(set(drawn.values())) == 60 and not set(drawn.values()) & set(values)
