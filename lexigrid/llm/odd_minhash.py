@@ -5,8 +5,8 @@
    the XOR of two bitmaps holds the values in which two texts differ, and its
    population count estimates their Jaccard similarity.
 2. Equal sets form classes; one representative of each goes on.
-3. Each band bucket links its members to its smallest member only. The components
-   of these links are *families*: two texts that share any bucket are in one family.
+3. Each band bucket links its members to its smallest member, its head, only. The
+   components of these links are *families*: two texts that share any bucket are in one family.
 4. Families are compared in blocks of at most BLOCK representatives, a task for
    each pair of blocks: the sketches rule out pairs, full sets confirm the rest,
    and only a spanning forest of the confirmed links leaves the task.
@@ -174,7 +174,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     )
     banded = classes.select("rep", F.explode("bands").alias("key"))
     heads = banded.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head <> last").select("key", "head")
-    loose = banded.join(heads, "key").filter("rep <> head").selectExpr("rep AS a", "head AS b").distinct()
+    # a member keeps one link, to the smallest of its heads, and its other heads (at most BANDS) are linked with that one
+    own = banded.join(heads, "key").filter("rep <> head").groupBy("rep").agg(F.collect_set("head").alias("heads")).withColumn("least", F.array_min("heads"))
+    others = F.transform("heads", lambda h: F.when(h == F.col("least"), F.struct(F.col("rep").alias("a"), h.alias("b"))).otherwise(F.struct(h.alias("a"), F.col("least").alias("b"))))
+    loose = own.select(F.inline(others)).distinct()
     families = connected_components(loose).withColumnRenamed("node", "rep").withColumnRenamed("label", "family")
     sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
     members = cut(families.join(sizes, "family").join(classes.select("rep", "set_id", "sketch"), "rep"), "members")
