@@ -19,9 +19,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,7 +29,9 @@ from lexigrid.llm._shared import cut, shared_dir, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
+#: Texts that are encoded at a time; it bounds what a worker holds besides its pieces.
+SLICE = 1024
 #: How the files are laid out; the stripe size is in bytes, the stride in rows.
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": "67108864", "orc.row.index.stride": "2000"}
 
@@ -76,7 +77,7 @@ class _Pieces(dict):
             row = np.array(ids, np.int32)
             cuts = np.flatnonzero(row == self.feed[0])
             out += [row[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(row)], strict=True)]
-        return out
+        return out if len(out) == len(lines) else [np.array(x, np.int32) for x in self.encode(lines)]
 
     def settle(self) -> None:
         """Encode the pieces that were met since the last call. A word's final stop or comma is a pre-token of its own."""
@@ -107,7 +108,7 @@ def _pieces(path: str) -> _Pieces:
 
 def only_single_spaces(text: str) -> bool:
     """Whether every space and line feed has a character other than white space on both sides."""
-    if not text or text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+    if not text or text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
         return False
     return not (_OTHER_SPACE.search(text) and _NOT_SINGLE.search(text))
 
@@ -115,10 +116,10 @@ def only_single_spaces(text: str) -> bool:
 def encode_texts(texts: list[str | None], tokenizer: str = TOKENIZER) -> Iterator[np.ndarray]:
     """The ids of each text (null as empty) and END_ID after them."""
     pieces = _pieces(tokenizer)
-    for at in range(0, len(texts), 2048):
+    for at in range(0, len(texts), SLICE):
         if len(pieces) >= REMEMBERED:
             pieces.reset()
-        part = [t or "" for t in texts[at : at + 2048]]
+        part = [t or "" for t in texts[at : at + SLICE]]
         split = [("\n" + t).replace("\n", " \n")[1:].split(" ") if only_single_spaces(t) else None for t in part]
         whole = iter(pieces.encode([t for t, s in zip(part, split, strict=True) if s is None]))
         rows = [None if s is None else np.fromiter(map(pieces.__getitem__, s), np.int64, len(s)) for s in split]
@@ -137,12 +138,17 @@ def encode_texts(texts: list[str | None], tokenizer: str = TOKENIZER) -> Iterato
             yield out
 
 
-def token_ids(text: Column, tokenizer: str = TOKENIZER) -> Column:
-    @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(encode_texts(texts.tolist(), tokenizer)), index=texts.index)
+def _encode(tokenizer: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                ids = list(encode_texts(part.column("text").to_pylist(), tokenizer))
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), lists], names=["doc_id", "row", "ids"])
 
-    return run.asNondeterministic()(text.cast("string"))
+    return run
 
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> None:
@@ -151,7 +157,8 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> N
     A null id comes first; rows that repeat an id keep the order that ``row`` records.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.select("doc_id", F.monotonically_increasing_id().alias("row"), token_ids(F.col("text"), tokenizer).alias("ids")).write.options(**ORC_OPTIONS).orc(path)
+    numbered = ordered.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
+    numbered.mapInArrow(_encode(tokenizer), "doc_id long, row long, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
