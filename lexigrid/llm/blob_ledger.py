@@ -30,8 +30,9 @@ RULES = (
     ("url_login", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,80}:([^\s/:@]{6,80})@", 1, 6, r"://[^\s/:@]{1,80}:[^\s/:@]{6,80}@"),
 )
 KINDS = tuple(r[0] for r in RULES)
-LEDGER_SCHEMA = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
-FOUND = "array<struct<kind:string,version:int,spans:array<struct<start:int,end:int>>>>"
+SPANS = "array<struct<kind:string,version:int,spans:array<struct<start:int,end:int>>>>"
+#: A row for each blob and scan: the rules that ran, and those of them that found something.
+LEDGER_SCHEMA = f"blob binary, rules array<struct<kind:string,version:int>>, found {SPANS}"
 
 
 @lru_cache(maxsize=1)
@@ -46,72 +47,82 @@ def scan_text(text: str, kind: str) -> list[tuple[int, int]]:
 
 
 def _scan(text: Column, missing: Column) -> Column:
-    @F.pandas_udf(FOUND)
+    @F.pandas_udf(SPANS)
     def run(texts: pd.Series, kinds: pd.Series) -> pd.Series:
         values = texts.tolist()
         found: list[list[dict]] = [[] for _ in values]
         column = pa.array(values, pa.large_string())
         for kind, (version, _, _, _, hint) in _compiled().items():
-            hits = pc.match_substring_regex(column, hint).to_pylist()
-            for i, (text_, hit, wanted) in enumerate(zip(values, hits, kinds, strict=True)):
-                if kind in wanted:
-                    found[i].append({"kind": kind, "version": version, "spans": [{"start": a, "end": b} for a, b in scan_text(text_, kind)] if hit else []})
-        return pd.Series(found)
+            hits = pc.match_substring_regex(column, hint).to_numpy(zero_copy_only=False)
+            for i in hits.nonzero()[0]:
+                if kind in kinds.iloc[i] and (spans := scan_text(values[i], kind)):
+                    found[i].append({"kind": kind, "version": version, "spans": [{"start": a, "end": b} for a, b in spans]})
+        return pd.Series(found, index=texts.index)
 
     return run.asNondeterministic()(text, missing)
 
 
+def _blob(text: Column) -> Column:
+    return F.unhex(F.sha2(text_bytes(text), 256))
+
+
+def _current(rule: Column) -> Column:
+    """Whether a rule of the ledger has the version that is in force."""
+    return F.concat_ws(":", rule["kind"], rule["version"].cast("string")).isin([f"{r[0]}:{r[1]}" for r in RULES])
+
+
 def empty_ledger(spark: SparkSession) -> DataFrame:
-    return spark.sql("SELECT '' AS blob, '' AS kind, 0 AS version, CAST(array() AS ARRAY<STRUCT<start:INT,end:INT>>) AS spans WHERE false")
+    return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """New ledger rows for (doc_id, text): one for each blob and each rule version that the ledger lacks.
+    """New ledger rows for (doc_id, text): one for each blob that lacks a rule version, with the rules that ran on it.
 
     Of equal texts one is scanned: the blobs are found on narrow rows, so only the
     texts that are scanned are shuffled, by id, and no blob is a hot key. A null
     text is the empty blob. An empty table, or one seen before, gives no row.
     """
-    spark = docs.sparkSession
-    blobs = docs.select("doc_id", F.sha2(text_bytes(F.col("text")), 256).alias("blob")).groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    blobs = docs.select("doc_id", _blob(F.col("text")).alias("blob")).groupBy("blob").agg(F.min("doc_id").alias("_lx_id"))
     current = F.array(*[F.lit(k) for k in KINDS])
     if ledger is None:
         wanted = blobs.withColumn("kinds", current)
     else:
-        versions = spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{r[0]}', {r[1]})" for r in RULES) + " AS v(kind, version)")
-        seen = ledger.join(F.broadcast(versions), ["kind", "version"], "left_semi").groupBy("blob").agg(F.collect_set("kind").alias("seen"))  # at most one of each rule
+        seen = ledger.select("blob", F.explode(F.filter("rules", _current)).alias("r")).groupBy("blob").agg(F.collect_set("r.kind").alias("seen"))  # at most one of each rule
         wanted = blobs.join(seen, "blob", "left").withColumn("kinds", F.array_except(current, F.coalesce("seen", F.array().cast("array<string>")))).filter(F.size("kinds") > 0).drop("seen")
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2(F.col("text").cast("binary"), 256))
-    # a repeated id with the same text would be scanned twice: spans are equal, and the ledger keeps one
-    picked = texts.join(wanted.withColumnRenamed("doc_id", "_lx_id"), (F.col("doc_id").eqNullSafe(F.col("_lx_id"))) & (texts.blob == wanted.blob)).select(wanted.blob.alias("blob"), "kinds", "text")
-    found = picked.select("blob", _scan(F.col("text"), F.col("kinds")).alias("found")).select("blob", F.explode("found").alias("f"))
-    return found.select("blob", "f.kind", "f.version", "f.spans").dropDuplicates(["blob", "kind"])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _blob(F.col("text")).alias("own"))
+    picked = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_lx_id")) & (F.col("own") == F.col("blob"))).select("blob", "kinds", _scan(F.col("text"), F.col("kinds")).alias("found"))
+    version = F.create_map(*[x for r in RULES for x in (F.lit(r[0]), F.lit(r[1]))])
+    rules = F.transform("kinds", lambda k: F.struct(k.alias("kind"), F.element_at(version, k).alias("version")))
+    return picked.select("blob", rules.alias("rules"), "found").dropDuplicates(["blob"])  # a repeated id with one text gives two equal rows
 
 
 def findings_by_path(docs: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(doc_id, blob, found) for every row of ``docs``; found has a row for each kind with spans. AQE splits a blob with many paths."""
-    current = F.concat_ws(":", "kind", F.col("version").cast("string")).isin([f"{r[0]}:{r[1]}" for r in RULES])
-    hits = ledger.filter((F.size("spans") > 0) & current).groupBy("blob").agg(F.collect_list(F.struct("kind", "spans")).alias("found"))  # at most one of each rule
-    paths = docs.select("doc_id", F.sha2(text_bytes(F.col("text")), 256).alias("blob"))
-    return paths.join(hits, "blob", "left")
+    """(doc_id, blob, found) for every row of ``docs``; found has an entry for each rule in force that found something.
+
+    Blobs with findings are few and are written first; AQE can then split a blob that very many paths share.
+    """
+    hits = ledger.filter(F.size("found") > 0).select("blob", F.explode(F.filter("found", _current)).alias("f")).groupBy("blob").agg(F.collect_list("f").alias("found"))  # at most one of each rule
+    return docs.select("doc_id", _blob(F.col("text")).alias("blob")).join(cut(hits, "findings"), "blob", "left")
+
+
+def _found(*kinds: str) -> Column:
+    return F.filter(F.coalesce("found", F.array().cast(SPANS)), lambda f: f["kind"].isin(*kinds))
 
 
 def _spans(kinds: tuple[str, ...]) -> Column:
     order = F.array(*[F.lit(k) for k in KINDS])
-    wanted = F.filter(F.coalesce("found", F.array().cast("array<struct<kind:string,spans:array<struct<start:int,end:int>>>>")), lambda f: f["kind"].isin(*kinds))
-    flat = F.flatten(F.transform(wanted, lambda f: F.transform(f["spans"], lambda s: F.struct(s["start"].alias("start"), F.array_position(order, f["kind"]).alias("place"), s["end"].alias("end"), f["kind"].alias("kind")))))
+    flat = F.flatten(F.transform(_found(*kinds), lambda f: F.transform(f["spans"], lambda s: F.struct(s["start"].alias("start"), F.array_position(order, f["kind"]).alias("place"), s["end"].alias("end"), f["kind"].alias("kind")))))
     return F.array_join(F.transform(F.array_sort(flat), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
 def _count(kind: str) -> Column:
-    own = F.filter(F.coalesce("found", F.array().cast("array<struct<kind:string,spans:array<struct<start:int,end:int>>>>")), lambda f: f["kind"] == kind)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda a, f: a + F.size(f["spans"]))
+    return F.aggregate(_found(kind), F.lit(0).cast("long"), lambda n, f: n + F.size(f["spans"]))
 
 
 def digest(findings: DataFrame) -> DataFrame:
     base = KINDS[:3]
     return findings.select(
-        "doc_id", *[_count(k).alias(f"n_{k}") for k in base], F.sha2(_spans(base).cast("binary"), 256).alias("base_sha256"), _spans(KINDS).alias("spans"), "blob",
+        "doc_id", *[_count(k).alias(f"n_{k}") for k in base], F.sha2(_spans(base).cast("binary"), 256).alias("base_sha256"), _spans(KINDS).alias("spans"), F.lower(F.hex("blob")).alias("blob"),
     )
 
 
