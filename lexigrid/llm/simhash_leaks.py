@@ -1,9 +1,10 @@
 """Benchmark decontamination with SimHash windows (DataFrame and SQL functions only).
 
-1. A window can only be similar to an item if it shares a word shingle with it. So
-   every document's shingles are looked up among the items' shingles, and each hit
-   names an item-sized window: the one in which the shared shingle stands where it
-   stands in the item.
+1. A window can only be similar to an item if it shares word shingles with it. So
+   every document's shingles are looked up among the items' shingles. Each hit names
+   all item-sized windows around it, wherever the shingle stands in the item. A
+   window goes on if its hits are as many as the similarity needs at least: what they
+   have in common is never more than that, so no similar window is lost.
 2. Windows and items get 64-bit SimHash fingerprints of their words. The bits are
    cut into RADIUS + 1 blocks; two fingerprints at most RADIUS bits apart agree in
    at least one, so an equi-join on (length, block, value) finds all such pairs.
@@ -73,12 +74,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> Data
     """
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
     items = cut(items.select("item_id", F.size("words").alias("n_words"), simhash(F.col("words")).alias("item_print"), shingles_of(F.col("words")).alias("item_shingles")), "items")
-    spots = items.select(F.col("n_words"), F.posexplode("item_shingles").alias("item_at", "shingle")).distinct()
+    spots = items.select("item_id", "n_words", F.size("item_shingles").alias("item_size"), F.explode(F.array_distinct("item_shingles")).alias("shingle"))
 
     hashed = docs.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("length"), F.posexplode(shingles_of(F.col("words"))).alias("at", "shingle"))
-    hits = join_small(hashed, spots, ["shingle"])
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("length") - F.col("n_words")))
-    windows = cut(hits.select("doc_id", "n_words", start.alias("start")).distinct(), "windows")
+    sized = join_small(hashed, spots, ["shingle"]).withColumn("size", F.greatest(F.lit(1), F.least("n_words", "length") - SHINGLE + 1))
+    # a pair at the threshold shares n: 100 * n >= percent * (size + item_size - n)
+    hits = cut(sized.withColumn("needs", percent * (F.col("size") + F.col("item_size"))), "hits")
+    enough = F.col("n") * (100 + percent) >= F.col("needs")
+    many = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("needs")).filter(enough).select("doc_id", "item_id")
+    around = F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("size") + 1), F.greatest(F.lit(0), F.least(F.col("at"), F.col("length") - F.col("n_words"))))
+    spans = join_small(hits, many, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "n_words", "needs", F.explode(around).alias("start"))
+    counted = spans.groupBy("doc_id", "item_id", "n_words", "needs", "start").agg(F.count(F.lit(1)).alias("n"))
+    windows = cut(counted.filter(enough).select("doc_id", "n_words", "start").distinct(), "windows")
 
     ids = windows.select("doc_id").distinct()
     texts = join_small(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi").select("doc_id", words_of(F.col("text")).alias("words"))

@@ -139,6 +139,18 @@ def test_edited_passages(spark):
     assert {(x.doc_id, x.item_id) for x in simhash_leaks.leaks(df, bench).collect()} == leaks({d: t for d, t in docs.items() if d != 201}, items, 80)
 
 
+def test_passages_with_moved_parts(spark):
+    own = [f"q{i}" for i in range(59)]
+    filler = lambda c: [f"{c}{i}" for i in range(40)]
+    moved = {1: own[30:] + own[:30], 2: own[15:] + own[:15], 3: own[20:40] + own[:20] + own[40:], 4: own[12:] + own[:12] * 2, 5: own[40:50] + own[:8]}
+    docs = {k: " ".join(filler("f") + v + filler("g")) for k, v in moved.items()} | {6: " ".join(moved[1]), 7: " ".join(filler("f") + moved[2]), 8: " ".join(moved[1][:56])}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(own)), (2, " ".join(own[:40]))], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in simhash_leaks.leaks(df, bench).collect()}
+    assert set(got) == leaks(docs, {1: " ".join(own), 2: " ".join(own[:40])}, 80) >= {(1, 1), (2, 1), (6, 1), (7, 1)}
+    assert got[1, 1].window_start == 40 and got[1, 1].hamming == 0 and got[1, 1].similarity == 51 / 59
+
+
 def test_leaks_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "same text for all of these rows, twelve words long in fact yes", "x"), (2, None, "x")], "item_id long, text string, doc_id string")
     got = simhash_leaks.leaks(odd, bench).collect()
