@@ -1,94 +1,93 @@
 """Mixing sources to target weights by Pfair scheduling (DataFrame and SQL functions only).
 
-Each source's rows form blocks. With a target weight of q / D, block k of a source
-(from 0) may be placed from slot floor(k * D / q) on and has to be placed before
-slot ceil((k + 1) * D / q). Earliest deadline first on those windows meets all
-deadlines, because the weights add up to one; so at every slot a source deviates
-from its share by less than one block. With whole-number weights the schedule
-repeats every D slots: one period is computed by a SQL fold and all blocks are
-placed by arithmetic, in parallel.
-
-When a source runs out, its share goes to the others in proportion to their
-weights and a new period is computed: a *segment* is a number of equal periods,
-or the one period in which a source runs out. All rows are placed exactly once.
+Each source's rows form blocks. When a source runs out, its share goes to the
+others in proportion to their weights, so at time v a source should have placed
+min(its blocks, v * weight) blocks, and its block k (from 0) has the window from
+k / weight to (k + 1) / weight. The weights are taken as they are, as fractions.
+
+Slots are cut into *segments* of at most PERIOD slots; where a source runs out, a
+segment ends. Earliest deadline first on the windows says how many blocks of each
+source a segment gets: at its end every source is less than one block off its
+share, however many slots there are. Within a segment of n slots, block k of a
+source with q blocks may be placed from slot floor(k * n / q) on and has to be
+placed before slot ceil((k + 1) * n / q); a SQL fold for each segment, in parallel,
+meets these windows, which adds less than one block. So a source is never two
+blocks off its target share. All rows are placed exactly once.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import Counter
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import gapless_index, table
+from lexigrid.llm._shared import cut, gapless_index, join_small, table
 
 #: Rows of a block in the production query.
 BLOCK_ROWS = 16
-#: Slots of a period, if the sources are few; weights are multiples of its inverse.
+#: Most slots of a segment.
 PERIOD = 1024
-#: Most sources. It bounds the plan that is broadcast to 2 * MAX_SOURCES * PERIOD offsets.
+#: Most sources.
 MAX_SOURCES = 256
 #: Without target weights, a source with n rows has a weight in proportion to n to this power.
 SMOOTHING = 0.5
 
 
-def _quantise(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole numbers of at least 1 that add up to ``period``, by largest remainders."""
-    total = sum(weights.values())
-    left = period - len(weights)
-    exact = {k: w / total * left for k, w in weights.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    rest = period - sum(out.values())
-    for k in sorted(exact, key=lambda k: (int(exact[k]) - exact[k], k))[:rest]:
-        out[k] += 1
-    return out
-
-
 def plan_segments(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[dict]:
-    """Segments in order; for each its periods, first slot, slots a period, and per source q, blocks a period and first block."""
-    left = {k: n for k, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    slot, out = 0, []
-    while left:
-        q = _quantise({k: weights[k] for k in left}, period)
-        whole = min(left[k] // q[k] for k in left)
-        for times, have in ((whole, q), (1, {k: min(q[k], left[k] - whole * q[k]) for k in left})):
-            if not times or not any(have.values()):
-                continue
-            out.append({"times": times, "slot": slot, "length": sum(have.values()), "sources": {k: (q[k], have[k], done[k]) for k in left}})
-            for k in left:
-                done[k] += times * have[k]
-            slot += times * sum(have.values())
-        left = {k: blocks[k] - done[k] for k in left if blocks[k] > done[k]}
+    """Segments in order; for each its first slot, its slots, and per source its blocks as if it had ``period`` slots, its blocks and first block."""
+    w = {k: Fraction(weights[k]) for k, n in blocks.items() if n > 0}
+    ends = sorted(((blocks[k] / w[k], k) for k in w), reverse=True)
+    gone, rate, v = 0, sum(w.values()), Fraction(0)
+    total, slot, out = sum(blocks[k] for k in w), 0, []
+    done = dict.fromkeys(w, 0)
+    waiting: list[tuple[Fraction, str]] = [(Fraction(0), k) for k in sorted(w)]
+    ready: list[tuple[Fraction, str]] = []
+    while slot < total:
+        runs_out = gone + ends[-1][0] * rate
+        end = min(slot + period, whole if (whole := int(runs_out)) > slot else slot + 1)
+        while ends and gone + ends[-1][0] * rate <= end:
+            v, k = ends.pop()
+            gone, rate = gone + blocks[k], rate - w[k]
+        v = (end - gone) / rate if ends else v
+        have: Counter[str] = Counter()
+        for _ in range(end - slot):
+            while waiting and waiting[0][0] < v:
+                k = heapq.heappop(waiting)[1]
+                heapq.heappush(ready, ((done[k] + have[k] + 1) / w[k], k))
+            deadline, k = heapq.heappop(ready)
+            have[k] += 1
+            if done[k] + have[k] < blocks[k]:
+                heapq.heappush(waiting, (deadline, k))
+        out.append({"times": 1, "slot": slot, "length": end - slot, "sources": {k: (Fraction(n * period, end - slot), n, done[k]) for k, n in have.items()}})
+        for k, n in have.items():
+            done[k] += n
+        slot = end
     return out
 
 
-def _text(x: str) -> str:
-    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def schedule(spark: SparkSession, segments: list[dict], period: int = PERIOD) -> DataFrame:
-    """A row for each segment and source: its first block and slot and, for each block of a period, release, deadline and offset.
+def schedule(spark: SparkSession, segments: list[dict]) -> DataFrame:
+    """A row for each block: its slot, release and deadline.
 
-    The fold walks the slots of one period: of the blocks that are released and
+    The fold walks the slots of one segment: of the blocks that are released and
     there, the one with the earliest deadline is placed (ties: the source's name).
-    A slot for which none is there stays empty and is closed up afterwards.
     """
     rows = []
     for n, s in enumerate(segments):
         names = sorted(s["sources"])
-        q, have, start = ([s["sources"][k][j] for k in names] for j in range(3))
-        rows.append(f"({n}, CAST({s['times']} AS BIGINT), CAST({s['slot']} AS BIGINT), {s['length']}, array({', '.join(map(_text, names))}), array({', '.join(map(str, q))}), array({', '.join(map(str, have))}), array({', '.join(f'CAST({x} AS BIGINT)' for x in start)}))")
-    plan = spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(segment, times, slot, length, names, q, have, start)")
-    step = """(s, t) -> CASE WHEN {pick} IS NULL THEN s ELSE named_struct('done', transform(s.done, (x, i) -> x + CAST(i = {pick} AS INT)), 'order', concat(s.order, array({pick}))) END"""
-    pick = f"array_min(transform(filter(sequence(0, size(q) - 1), i -> s.done[i] < have[i] AND s.done[i] * {period} DIV q[i] <= t), i -> named_struct('deadline', ((s.done[i] + 1) * {period} + q[i] - 1) DIV q[i], 'i', i))).i"
-    fold = f"aggregate(sequence(0, {period} - 1), named_struct('done', transform(q, x -> 0), 'order', CAST(array() AS ARRAY<INT>)), {step.format(pick=pick)}, s -> s.order)"
+        rows.append((n, s["slot"], s["length"], names, *([s["sources"][k][j] for k in names] for j in (1, 2))))
+    plan = spark.createDataFrame(rows, "segment int, slot long, length int, names array<string>, have array<int>, start array<long>")
+    # the array of one element: the pick is worked out once a slot, not once a source
+    step = "(s, t) -> transform(array({pick}), p -> IF(p IS NULL, s, named_struct('done', transform(s.done, (x, i) -> x + CAST(i = p AS INT)), 'order', concat(s.order, array(p)))))[0]"
+    pick = "array_min(transform(filter(sequence(0, size(have) - 1), i -> s.done[i] < have[i] AND s.done[i] * length DIV have[i] <= t), i -> named_struct('deadline', ((s.done[i] + 1) * length + have[i] - 1) DIV have[i], 'i', i))).i"
+    fold = f"aggregate(sequence(0, length - 1), named_struct('done', transform(have, x -> 0), 'order', CAST(array() AS ARRAY<INT>)), {step.format(pick=pick)}, s -> s.order)"
     placed = plan.withColumn("order", F.expr(fold))
-    each = placed.selectExpr("segment", "times", "slot", "length", "order", "posexplode(arrays_zip(names, q, have, start)) AS (i, x)")
-    return each.selectExpr(
-        "x.names AS source", "segment", "times", "slot AS segment_slot", "length", "x.q AS q", "x.have AS have", "x.start AS start", "x.start + times * x.have AS stop",
-        "filter(transform(order, (who, at) -> IF(who = i, at, -1)), at -> at >= 0) AS offsets",
-    ).filter("have > 0")
+    each = placed.selectExpr("segment", "slot", "length", "order", "posexplode(arrays_zip(names, have, start)) AS (i, x)")
+    offsets = each.selectExpr("x.names AS source", "segment", "slot AS first", "length", "x.have AS have", "x.start AS start", "posexplode(filter(transform(order, (who, at) -> IF(who = i, at, -1)), at -> at >= 0)) AS (k, at)")
+    return offsets.selectExpr("source", "start + k AS block", "first + at AS slot", "first + k * length DIV have AS release", "first + ((k + 1) * length + have - 1) DIV have AS deadline", "segment")
 
 
 def mix_documents(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = BLOCK_ROWS, period: int = PERIOD, carry: bool = False) -> DataFrame:
@@ -118,12 +117,8 @@ def mix_documents(docs: DataFrame, weights: Mapping[str, float] | None = None, b
         return rows.selectExpr("doc_id", "source", "0L AS block", "0L AS slot", "0L AS release", "0L AS deadline", "0 AS place", "0 AS segment", *carried).filter("false")
     numbered = gapless_index(rows.withColumn("_lx_h", F.xxhash64("doc_id", "source")), ["source"], ["_lx_h", "doc_id"], "n")
     blocks = numbered.selectExpr("doc_id", "source", f"n DIV {block_rows} AS block", f"CAST(n % {block_rows} AS INT) AS place", *carried)
-    at = F.broadcast(schedule(spark, segments, period))  # at most 2 * MAX_SOURCES * MAX_SOURCES rows, PERIOD offsets a segment
-    joined = blocks.join(at, (blocks.source == at.source) & (F.col("block") >= F.col("start")) & (F.col("block") < F.col("stop"))).drop(at.source)
-    return joined.selectExpr("*", "(block - start) DIV have AS cycle", "CAST((block - start) % have AS INT) AS k").selectExpr(
-        "doc_id", "source", "block", "segment_slot + cycle * length + offsets[k] AS slot",
-        f"segment_slot + cycle * length + k * {period} DIV q AS release", f"segment_slot + cycle * length + ((k + 1) * {period} + q - 1) DIV q AS deadline", "place", "segment", *carried,
-    )
+    joined = join_small(blocks, cut(schedule(spark, segments), "schedule"), ["source", "block"])
+    return joined.select("doc_id", "source", "block", "slot", "release", "deadline", "place", "segment", *carried)
 
 
 def in_mixed_order(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:

@@ -46,6 +46,26 @@ def test_schedule_equals_a_simulation(spark, counts, weights):
     assert all(n == 3 or b == blocks[s] - 1 for (s, b), n in sizes.items())
 
 
+def off_target(blocks, weights, order):
+    """The largest deviation from the given weights; what has run out leaves its share to the others."""
+    worst, done, ends = 0, Counter(), sorted(blocks, key=lambda k: blocks[k] / weights[k])
+    gone, rate = 0, sum(weights.values())
+    for t, (k, _) in enumerate(order, 1):
+        done[k] += 1
+        while ends and gone + blocks[ends[0]] / weights[ends[0]] * rate <= t + 1e-9:
+            gone, rate = gone + blocks[ends[0]], rate - weights[ends.pop(0)]
+        worst = max(worst, *(abs(done[x] - weights[x] * (t - gone) / rate) for x in ends), 0) if ends else worst
+    return worst
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.95, "b": 0.05}, {"a": 0.7} | {f"s{i:02d}": 0.3 / 19 for i in range(19)}, {"a": 0.9} | {f"s{i:03d}": 0.1 / 299 for i in range(299)}])
+def test_schedule_keeps_the_given_weights(weights):
+    blocks = {k: 1 + int(9000 * w) for k, w in weights.items()} | {"a": 6000}
+    order = simulate(blocks, weights, pfair_mixing.PERIOD)
+    assert Counter(k for k, _ in order) == blocks and len(set(order)) == len(order)
+    assert off_target(blocks, weights, order) < 2
+
+
 def test_mixing_odd_rows(spark, odd, empty):
     got = pfair_mixing.mix_documents(odd)
     assert got.count() == odd.count() and pfair_mixing.mix_documents(empty).collect() == []
