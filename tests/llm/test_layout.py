@@ -66,6 +66,13 @@ def test_schedule_keeps_the_given_weights(weights):
     assert off_target(blocks, weights, order) < 2
 
 
+def test_any_number_of_sources(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('h', id % 700) AS source")
+    got = pfair_mixing.mix_documents(docs, block_rows=2).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 2000
+    assert {r.slot for r in got} == set(range(len({(r.source, r.block) for r in got}))) and all(r.release <= r.slot < r.deadline for r in got)
+
+
 def test_mixing_odd_rows(spark, odd, empty):
     got = pfair_mixing.mix_documents(odd)
     assert got.count() == odd.count() and pfair_mixing.mix_documents(empty).collect() == []
