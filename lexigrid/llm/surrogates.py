@@ -47,7 +47,8 @@ SYLLABLES = {
 ALPHABETS = ("abcdefghijklmnoprstuvwyz"[:16], "àâçèéêëîïñòóôùûü", "абвгдежзиклмнопр", "αβγδεζηθικλμνξοπ")
 
 _TITLE = "(?:" + "|".join(TITLES_F + TITLES_M + TITLES_N) + r")\.?"
-_NAME_WORD = r"\p{Lu}[\p{Ll}'’-]+"
+#: A capitalised word with further capitals inside it or after hyphens and apostrophes, or an initial with its stop.
+_NAME_WORD = r"(?:\p{Lu}\.(?:-?\p{Lu}\.)*|\p{Lu}[\p{L}\p{M}'’-]+)"
 #: Type and pattern; where two begin at one place, the first is taken.
 PATTERNS = (
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-](?:[\p{L}\p{N}._%+-]*+)@[\p{L}\p{N}](?:[\p{L}\p{N}-]*+)(?:\.[\p{L}\p{N}-]++)+"),
@@ -56,7 +57,7 @@ PATTERNS = (
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?!\w)|(?<![\w+])\+\d{8,15}(?!\w)"),
-    ("name", rf"\b{_TITLE} {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}"),
+    ("name", rf"\b{_TITLE} {_NAME_WORD}(?: {_NAME_WORD})*+"),
 )
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 

@@ -176,6 +176,15 @@ def test_surrogates(spark, odd, empty):
     assert other[2] != got[2].text
 
 
+def test_whole_names_are_replaced(spark):
+    names = ["Mrs Anne-Marie Dupont", "Mr McDonald", "Mr O'Brien", "Mr J. Smith", "Dr J.-P. Sartre", "Herr Karl Maria Ernst Theodor Weber", "Mr Smith"]
+    rows = [(i, f"then {n}, who left") for i, n in enumerate(names)]
+    got = {r.doc_id: r for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    for i, n in enumerate(names):
+        parts = re.findall(r"\w{2,}", n)[1:]
+        assert got[i].n_entities == 1 and got[i].text.endswith(", who left") and not any(p in got[i].text for p in parts), n
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With a tiny space of surrogates many collide; all entities must still differ, and mentions of one agree."""
     values = [f"{a}-{b}" for a in ("11 11", "22 11", "33 11") for b in ()] or [f"({n:02d}) {n:03d} {n:03d}" for n in range(60)]
