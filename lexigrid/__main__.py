@@ -1,4 +1,4 @@
-"""Command line: ingest a folder, search, show the status of a collection, list collections, run an evaluation."""
+"""Command line: ingest a folder, search, show the status of a collection, list collections, delete documents, run an evaluation."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="lexigrid")
     parser.add_argument("--root", required=True, help="folder of the collections")
     verbs = parser.add_subparsers(dest="verb", required=True)
-    for verb in ("ingest", "search", "status", "list", "eval"):
+    for verb in ("ingest", "search", "status", "list", "eval", "delete"):
         one = verbs.add_parser(verb)
         if verb != "list":
             one.add_argument("collection")
@@ -30,6 +30,9 @@ def main(argv: list[str] | None = None) -> int:
             one.add_argument("folder")
         if verb == "eval":
             one.add_argument("judgments")
+            one.add_argument("--out", help="a new folder for the report")
+        if verb == "delete":
+            one.add_argument("document_ids", nargs="+")
         if verb == "search":
             one.add_argument("query")
             one.add_argument("--mode", choices=D.MODES, default="bm25")
@@ -52,10 +55,14 @@ def main(argv: list[str] | None = None) -> int:
             print(json.dumps(engine.status(args.collection)))
         elif args.verb == "list":
             print(json.dumps(engine.collections()))
+        elif args.verb == "delete":
+            print(json.dumps(engine.delete(args.collection, args.document_ids)))
         else:
-            means = engine.evaluate(args.collection, load_judgments(spark, args.judgments), load_directory(spark, args.folder))
-            for r in means.orderBy("stage", "category").collect():
+            report = engine.evaluate(args.collection, load_judgments(spark, args.judgments), load_directory(spark, args.folder), args.folder)
+            for r in report.means.orderBy("stage", "category").collect():
                 print(json.dumps(r.asDict()))
+            if args.out:
+                report.write(args.out)
     except LexigridError as e:
         print(f"{type(e).__name__}: {e}", file=sys.stderr)
         return 1

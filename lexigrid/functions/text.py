@@ -10,11 +10,16 @@ from lexigrid import defaults as D
 #: Unicode letters, digits and the underscore (Java's \w is ASCII only).
 TOKEN = r"[\p{L}\p{N}_]+"
 #: What Python's str.strip() takes for white space.
-BLANK = r"^[\p{Z}\x09-\x0d\x1c-\x1f\x85]*$"
+WHITE = r"[\p{Z}\x09-\x0d\x1c-\x1f\x85]"
+BLANK = rf"^{WHITE}*$"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
-#: The envelope around retrieved text, and what its tags become inside it.
+#: The envelope around retrieved text, its lines, and what its tags become inside it.
 OPEN, CLOSE = "<retrieved_context>", "</retrieved_context>"
 BLOCKED = {OPEN: "[blocked-retrieved-context-start]", CLOSE: "[blocked-retrieved-context-end]"}
+PROVENANCE, PROVENANCE_END = "[retrieval_provenance]", "[/retrieval_provenance]"
+DATA, DATA_END = "[retrieved_data]", "[/retrieved_data]"
+TRUST = "trust_level: untrusted_retrieved_data"
+DOCUMENT_LINE, CHUNK_LINE, SCORE_LINE, SOURCE_LINE = "document_id: ", "chunk_id: ", "retrieval_score: ", "source: "
 
 
 def tokens(text: Column) -> Column:
@@ -30,13 +35,18 @@ def is_blank(text: Column) -> Column:
     return text.rlike(BLANK)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, rf"^{WHITE}+|{WHITE}+$", "")
+
+
 def newlines(text: Column) -> Column:
     """CRLF and CR as LF, as files are read."""
     return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def snippet(text: Column, chars: int = D.SNIPPET_CHARS) -> Column:
-    return F.substring(F.trim(F.regexp_replace(text, r"[\p{Z}\x09-\x0d\x1c-\x1f\x85]+", " ")), 1, chars)
+    return F.substring(F.trim(F.regexp_replace(text, f"{WHITE}+", " ")), 1, chars)
 
 
 def token_estimate(text: Column) -> Column:
@@ -59,18 +69,18 @@ def quoted(text: Column) -> Column:
 def provenance(value: Column) -> Column:
     """One safe line; ``unknown`` for nothing."""
     parts = F.filter(F.split(_safe(F.coalesce(value.cast("string"), F.lit(""))), "\n", -1), lambda x: x != "")
-    line = F.trim(F.array_join(parts, " "))
+    line = strip(F.array_join(parts, " "))
     return F.when(line == "", F.lit("unknown")).otherwise(line)
 
 
 def framed(content: Column, document_id: Column, chunk_id: Column, source: Column | None = None, score: Column | None = None) -> Column:
     """The envelope of untrusted text. ``score`` is text already: decimals are the caller's business."""
-    lines = [F.lit("trust_level: untrusted_retrieved_data"), F.concat(F.lit("document_id: "), provenance(document_id)), F.concat(F.lit("chunk_id: "), provenance(chunk_id))]
+    lines = [F.lit(TRUST), F.concat(F.lit(DOCUMENT_LINE), provenance(document_id)), F.concat(F.lit(CHUNK_LINE), provenance(chunk_id))]
     if score is not None:
-        lines.append(F.concat(F.lit("retrieval_score: "), score))
+        lines.append(F.concat(F.lit(SCORE_LINE), score))
     if source is not None:
-        lines.append(F.when(source.isNotNull() & ~is_blank(source), F.concat(F.lit("source: "), provenance(source))))
-    return F.concat_ws("\n", F.lit(OPEN), F.lit("[retrieval_provenance]"), *lines, F.lit("[/retrieval_provenance]"), F.lit("[retrieved_data]"), quoted(content), F.lit("[/retrieved_data]"), F.lit(CLOSE))
+        lines.append(F.when(source.isNotNull() & ~is_blank(source), F.concat(F.lit(SOURCE_LINE), provenance(source))))
+    return F.concat_ws("\n", F.lit(OPEN), F.lit(PROVENANCE), *lines, F.lit(PROVENANCE_END), F.lit(DATA), quoted(content), F.lit(DATA_END), F.lit(CLOSE))
 
 
 def sigmoid(x: Column) -> Column:

@@ -23,8 +23,13 @@ def chunk_id(document_id: Column, index: Column, hash_: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", document_id.cast("string"), index.cast("string"), hash_).cast("binary"), 256)
 
 
+def content_key(hash_: Column) -> Column:
+    """The first 60 bits of a hash: a number that sorts as the hash does, and travels in its place."""
+    return F.conv(F.substring(hash_, 1, 15), 16, 10).cast("bigint")
+
+
 def _finish(spans: DataFrame) -> DataFrame:
-    hashed = spans.withColumn("content_hash", content_hash(F.col("content")))
+    hashed = spans.withColumn("content_hash", content_hash(F.col("content"))).withColumn("content_key", content_key(F.col("content_hash")))
     return hashed.withColumn("chunk_id", chunk_id(F.col("document_id"), F.col("chunk_index"), F.col("content_hash")))
 
 
@@ -104,9 +109,3 @@ def recursive_chunks(docs: DataFrame, size: int = D.CHUNK_SIZE, overlap: int = D
 
     each = docs.select("document_id", "source", "content", spans.asNondeterministic()(F.col("content")).alias("spans")).select("document_id", "source", "content", F.posexplode("spans").alias("chunk_index", "w"))
     return _finish(each.select("document_id", "source", "chunk_index", F.col("w.start").alias("start_offset"), F.col("w.end").alias("end_offset"), F.substring("content", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("content")))
-
-
-def merged_metadata(metadata: Column, source: Column) -> Column:
-    """A document's metadata with its source, which wins over an entry of that name."""
-    return F.map_concat(F.map_filter(metadata, lambda k, _: k != "source"), F.create_map(F.lit("source"), source))
-

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.errors import IngestError
 from lexigrid.functions.text import is_blank
 
 #: Enters every fingerprint, so that other chunking settings make all documents new.
@@ -28,9 +29,17 @@ def diff_sources(current: DataFrame, stored: DataFrame, settings: str = DEFAULT_
     return both.select("source", "fingerprint", status.alias("status"))
 
 
+def below(source: Column, root: str) -> Column:
+    """Whether a source is ``root`` or lies below it: a sibling that only begins with the same letters does not. Without a root, all are."""
+    if not root:
+        return F.lit(True)
+    bare = root.rstrip("/")
+    return (source == bare) | (source == root) | source.startswith(f"{bare}/")
+
+
 def pruned_sources(current: DataFrame, stored: DataFrame, root: str) -> DataFrame:
-    """Stored sources under ``root`` that the current listing lacks."""
-    return stored.filter(F.col("source").startswith(root)).select("source").join(current.select("source"), "source", "left_anti")
+    """Stored sources below ``root`` that the current listing lacks."""
+    return stored.filter(below(F.col("source"), root)).select("source").join(current.select("source"), "source", "left_anti")
 
 
 def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -38,17 +47,19 @@ def upsert(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(new.select("source").distinct(), "source", "left_anti").unionByName(new)
 
 
-def delete(rows: DataFrame, keys: DataFrame, key: str = "document_id") -> DataFrame:
-    return rows.join(keys.select(key).distinct(), key, "left_anti")
-
-
 def orphans(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks whose document is not registered: a write that leaves any is refused."""
     return chunks.join(documents.select("document_id"), "document_id", "left_anti")
 
 
-def repeated(rows: DataFrame, key: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+def refuse_orphans(chunks: DataFrame, documents: DataFrame) -> None:
+    if bad := orphans(chunks, documents).select("document_id").distinct().limit(5).collect():
+        raise IngestError(f"chunks of documents that are not registered: {[r.document_id for r in bad]}")
+
+
+def refuse_repeats(rows: DataFrame, key: str) -> None:
+    if bad := rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(5).collect():
+        raise IngestError(f"{key} occurs more than once: {[r[key] for r in bad]}")
 
 
 def report(status: DataFrame, pruned: DataFrame, chunks: DataFrame) -> DataFrame:

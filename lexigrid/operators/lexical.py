@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,29 +9,25 @@ from pyspark.sql.window import Window
 from lexigrid import defaults as D
 from lexigrid.errors import RetrievalError
 from lexigrid.functions.text import tokens
-from lexigrid.operators.joins import join_sized, sized
+from lexigrid.operators.joins import few, hinted
 
-#: Order of hits with equal scores: content first, then position, so that no random id decides.
-TIES = ("content_hash", "document_id", "chunk_index")
+#: What identifies a chunk, and the order of hits with equal scores: content first, then position, so that no random id decides.
+KEY = ("document_id", "chunk_index")
+TIES = ("content_key", *KEY)
+#: The term of a posting that every chunk has, with the chunk's length; no token is empty.
+ALL = ""
 #: Scores are compared as they are published, so that the order of a sum never shows.
 DECIMALS = 6
 
 
-@dataclass(frozen=True)
-class LexicalIndex:
-    """postings(term, chunk_id, tf, dl, ties...) and one row of stats(n_chunks, avg_len)."""
-
-    postings: DataFrame
-    stats: DataFrame
-
+def _words(chunks: DataFrame) -> DataFrame:
+    return chunks.select(*TIES, tokens(F.col("content")).alias("words"))
 
-def token_counts(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf): one shuffle, combined before it."""
-    return chunks.select("chunk_id", F.explode(tokens(F.col("content"))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
-
-def document_frequency(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """(term, df, cf): distinct terms and all tokens of a row go through one aggregation, combined before its only shuffle."""
+    each = chunks.select(tokens(F.col("content")).alias("words")).select(F.explode(F.array(F.struct(F.array_distinct("words").alias("w"), F.lit(1).alias("d")), F.struct(F.col("words").alias("w"), F.lit(0).alias("d")))).alias("x"))
+    return each.select("x.d", F.explode("x.w").alias("term")).groupBy("term").agg(F.sum("d").alias("df"), F.sum(1 - F.col("d")).alias("cf"))
 
 
 def length_stats(chunks: DataFrame) -> DataFrame:
@@ -41,40 +35,56 @@ def length_stats(chunks: DataFrame) -> DataFrame:
     return chunks.select(F.size(tokens(F.col("content"))).alias("dl")).agg(F.count(F.lit(1)).alias("n_chunks"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total_tokens"), F.avg("dl").alias("avg_len"))
 
 
-def build_index(chunks: DataFrame, vocabulary: DataFrame | None = None) -> LexicalIndex:
-    """Postings of all terms, or only of a vocabulary (term): then other tokens never reach a shuffle.
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, weight): a term that a query repeats counts as often."""
+    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
+
+
+def _wanted(queries: DataFrame) -> DataFrame:
+    """Terms of the queries, and ALL."""
+    return queries.select(F.explode(F.concat(F.array(F.lit(ALL)), tokens(F.col("query")))).alias("term")).distinct()
 
-    Terms are counted inside each row, so a chunk's postings are made without
-    moving its text: ``tf`` is the number of places at which the term occurs.
+
+def build_postings(chunks: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """Postings (term, chunk, dl, tf) of all chunks; ``dl`` is the chunk's number of tokens. Each text is tokenised once.
+
+    With ``queries`` only their terms are kept, and no other token is shuffled. Rows
+    are dealt by chunk, so that whatever is summed for a chunk later needs no shuffle.
     """
-    words = chunks.select("chunk_id", *TIES, tokens(F.col("content")).alias("words")).withColumn("dl", F.size("words"))
-    each = words.select("chunk_id", *TIES, "dl", F.explode("words").alias("term"))
-    if vocabulary is not None:
-        each = join_sized(each, vocabulary.select("term").distinct(), ["term"])
-    postings = each.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"), *[F.first(c).alias(c) for c in TIES])
-    return LexicalIndex(postings, length_stats(chunks))
+    each = _words(chunks).select(*TIES, F.size("words").alias("dl"), F.explode(F.concat(F.array(F.lit(ALL)), "words")).alias("term"))
+    if queries is not None:
+        each = each.join(hinted(_wanted(queries), few(queries)), "term", "left_semi")
+    return each.repartition(*KEY).groupBy(*TIES, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """(query_id, term, weight): a term that a query repeats counts as often."""
-    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("weight"))
+def of_queries(postings: DataFrame, queries: DataFrame) -> DataFrame:
+    """The stored postings that a batch of queries needs, dealt by chunk."""
+    return postings.join(hinted(_wanted(queries), few(queries)), "term", "left_semi").repartition(*KEY)
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + D.IDF_SHIFT)
 
 
-def bm25_scores(queries: DataFrame, index: LexicalIndex, k1: float = D.BM25_K1, b: float = D.BM25_B) -> DataFrame:
-    """(query_id, chunk_id, ties..., score) of all chunks that share a term with a query and score above 0."""
-    terms = query_terms(queries)
-    wanted = join_sized(index.postings, terms.select("term").distinct(), ["term"], "left_semi")
-    df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = terms.join(df, "term").crossJoin(F.broadcast(index.stats))  # one row of stats
-    weighted = weighted.select("query_id", "term", "avg_len", (F.col("weight") * idf(F.col("n_chunks"), F.col("df"))).alias("w"))
+def term_weights(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query_id, term, w, avg_len): idf times the term's number in the query. The window holds one row a term of the queries."""
+    whole = Window.partitionBy()
+    per_term = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("dl").alias("length"))
+    known = per_term.withColumn("n", F.max(F.when(F.col("term") == ALL, F.col("df"))).over(whole)).withColumn("total", F.max(F.when(F.col("term") == ALL, F.col("length"))).over(whole))
+    weighted = query_terms(queries).join(hinted(known, few(queries)), "term")
+    return weighted.select("query_id", "term", (F.col("weight") * idf(F.col("n"), F.col("df"))).alias("w"), (F.col("total") / F.col("n")).alias("avg_len"))
+
+
+def bm25_scores(queries: DataFrame, postings: DataFrame, k1: float = D.BM25_K1, b: float = D.BM25_B) -> DataFrame:
+    """(query_id, chunk, score) of all chunks that share a term with a query and score above 0.
+
+    ``postings`` (those of the queries' terms) feed both the document frequencies
+    and the sums from one exchange, and the sums stay in its partitions.
+    """
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("w") * (tf * (k1 + 1)) / (tf + k1 * (1 - b + b * dl / F.col("avg_len")))
-    scored = wanted.join(sized(weighted), "term").groupBy("query_id", "chunk_id", *TIES).agg(F.round(F.sum(part), DECIMALS).alias("score"))
-    return scored.filter("score > 0")
+    joined = postings.join(hinted(term_weights(queries, postings), few(queries)), "term")
+    return joined.groupBy("query_id", *TIES).agg(F.round(F.sum(part), DECIMALS).alias("score")).filter("score > 0")
 
 
 def top_k(scored: DataFrame, k: int, ties: tuple[str, ...] = TIES) -> DataFrame:
@@ -85,8 +95,8 @@ def top_k(scored: DataFrame, k: int, ties: tuple[str, ...] = TIES) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def search_lexical(queries: DataFrame, chunks: DataFrame, k: int = D.TOP_K, threshold: float | None = None, index: LexicalIndex | None = None) -> DataFrame:
-    """BM25 hits of a batch of queries (query_id, query) over chunks, or over an index of them that is there already."""
-    index = index or build_index(chunks, query_terms(queries))
-    hits = top_k(bm25_scores(queries, index), k)
+def search_lexical(queries: DataFrame, chunks: DataFrame | None, k: int = D.TOP_K, threshold: float | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """BM25 hits of a batch of queries (query_id, query) over chunks, or over stored postings of them."""
+    held = build_postings(chunks, queries) if postings is None else of_queries(postings, queries)
+    hits = top_k(bm25_scores(queries, held), k)
     return hits if threshold is None else hits.filter(F.col("score") >= threshold)

@@ -146,6 +146,7 @@ ORACLES: dict[str, str] = {
     "dense_topk": _dense(10),
     "dense_threshold": _dense(50, after="score >= 0.5"),
     "dense_label_filter": _dense(10, where="a.label = b.label"),
+    "metadata_filter": _dense(10, where="b.label = 3 AND b.vec_id % 2 = 1 AND b.vec_id % 3 <> 0"),
     "hash_embed_docs": f"WITH {_DOCS}, l AS (SELECT document_id, {_lanes('content', 384)} AS v FROM docs), n AS (SELECT document_id, v, sqrt(list_sum([x * x FOR x IN v])) AS norm FROM l) SELECT document_id AS doc_id, CAST(len(v) AS INT) AS dims, "
     + ", ".join(f"round(v[{k + 1}] / norm, 6) AS v{k}" for k in (0, 1, 7, 8, 383)) + " FROM n",
     "rrf_two_lists": f"""WITH {_DOCS}, {_ITEMS}, {_WHOLE}, {_bm25(10)},
@@ -155,7 +156,7 @@ ORACLES: dict[str, str] = {
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, content_hash, document_id) AS INT) AS rank FROM fused QUALIFY rank <= 10)
       SELECT query_id, rank, document_id AS doc_id, round(score, 9) AS score FROM r""",
     "hybrid_windows": f"""WITH {_DOCS}, {_ITEMS}, {_windows()}, {_bm25(10)},
-      cv AS (SELECT {_TIES}, {_lanes('content', 32)} AS v FROM chunks), qv AS (SELECT query_id, {_lanes('query', 32)} AS v FROM items),
+      cv AS (SELECT {_TIES}, {_lanes('content', 384)} AS v FROM chunks), qv AS (SELECT query_id, {_lanes('query', 384)} AS v FROM items),
       ds AS (SELECT query_id, {_TIES}, round(greatest(0, list_cosine_similarity(qv.v, cv.v)), 6) AS score FROM qv, cv),
       second AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {_TIES}) AS rank FROM ds QUALIFY rank <= 10),
       fused AS (SELECT query_id, {_TIES}, round(sum(1.0 / (60 + rank)), 12) AS score FROM (SELECT query_id, {_TIES}, rank FROM hits UNION ALL SELECT query_id, {_TIES}, rank FROM second) GROUP BY ALL),
@@ -171,16 +172,28 @@ ORACLES: dict[str, str] = {
     "stage_delta": f"""WITH {_DOCS}, {_ITEMS}, {_SPANS}, {_WHOLE}, {_bm25(10)}, {_RERANK}, {_MEANS},
       d AS (SELECT s.stage, round(s.recall_1 - b.recall_1, 6) AS d_recall_1, round(s.recall_5 - b.recall_5, 6) AS d_recall_5, round(s.recall_10 - b.recall_10, 6) AS d_recall_10, round(s.rr - b.rr, 6) AS d_rr, round(s.ndcg - b.ndcg, 6) AS d_ndcg
         FROM means s, means b WHERE s.category IS NULL AND b.category IS NULL AND b.stage = 'bm25' AND s.stage <> 'bm25')
-      SELECT *, round(d_recall_1 + d_recall_5 + d_recall_10 + d_rr + d_ndcg, 6) AS net, least(d_recall_1, d_recall_5, d_recall_10, d_rr, d_ndcg) < 0 AS regressed, greatest(d_recall_1, d_recall_5, d_recall_10, d_rr, d_ndcg) > 0 AS improved FROM d""",
+      SELECT *, 'bm25' AS baseline, round(d_recall_1 + d_recall_5 + d_recall_10 + d_rr + d_ndcg, 6) AS net, least(d_recall_1, d_recall_5, d_recall_10, d_rr, d_ndcg) < 0 AS regressed, greatest(d_recall_1, d_recall_5, d_recall_10, d_rr, d_ndcg) > 0 AS improved FROM d""",
     "percentile_nearest_rank": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type",
     "token_overlap": f"WITH {_DOCS}, {_ITEMS}, {_SPANS} SELECT g.query_id, g.document_id AS doc_id, round(len(list_intersect(list_distinct({_tok('d.content')}), list_distinct({_tok('i.query')}))) / len(list_distinct({_tok('d.content')})), 6) AS overlap FROM gold g JOIN docs d USING (document_id) JOIN items i USING (query_id)",
-    "abstention": f"""WITH {_DOCS}, v AS (SELECT DISTINCT unnest({_tok('content')}) AS term FROM docs), t AS (SELECT conv_id || ':' || turn AS query_id, role, coalesce(text, '') AS query FROM conversations),
-      r AS (SELECT DISTINCT query_id FROM (SELECT query_id, unnest({_tok('query')}) AS term FROM t) WHERE term IN (SELECT term FROM v))
-      SELECT role, count(*) AS n_queries, count(*) FILTER (query_id NOT IN (SELECT query_id FROM r)) AS n_abstained FROM t GROUP BY role""",
+    "abstention": f"""WITH {_DOCS}, {_WHOLE}, items AS (SELECT conv_id || ':' || turn AS query_id, role, coalesce(text, '') AS query FROM conversations), {_bm25(1)}
+      SELECT role, count(*) AS n_queries, count(*) FILTER (query_id NOT IN (SELECT query_id FROM hits WHERE score >= 4)) AS n_abstained FROM items GROUP BY role""",
+    "rerank_attribution": f"""WITH {_DOCS}, {_ITEMS}, {_SPANS}, {_WHOLE}, {_bm25(10)},
+      shared AS (SELECT query_id, document_id, chunk_index, content_hash, count(*) AS score FROM hits_q JOIN hits_tf USING (term) GROUP BY ALL),
+      overlap AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {_TIES}) AS rank FROM shared QUALIFY rank <= 10),
+      logits AS (SELECT query_id, document_id, source, 1000.0 / (length(content) + 1) - 1 AS x FROM overlap JOIN docs USING (document_id)),
+      sig AS (SELECT query_id, document_id, source, round(CASE WHEN x >= 0 THEN 1 / (1 + exp(-x)) ELSE exp(x) / (1 + exp(x)) END, 6) AS score FROM logits),
+      rerank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source) AS rank FROM sig),
+      staged AS (SELECT 'overlap' AS stage, query_id, rank, document_id FROM overlap UNION ALL SELECT 'rerank', query_id, rank, document_id FROM rerank),
+      {_metrics("staged", "gold", "document_id", "stage")},
+      means AS (SELECT stage, round(avg(recall_1), 6) AS recall_1, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg FROM metrics GROUP BY stage),
+      d AS (SELECT 'rerank' AS stage, 'overlap' AS baseline, round(s.recall_1 - b.recall_1, 6) AS d_recall_1, round(s.recall_5 - b.recall_5, 6) AS d_recall_5, round(s.recall_10 - b.recall_10, 6) AS d_recall_10, round(s.rr - b.rr, 6) AS d_rr, round(s.ndcg - b.ndcg, 6) AS d_ndcg
+        FROM means s, means b WHERE s.stage = 'rerank' AND b.stage = 'overlap')
+      SELECT *, round(d_recall_1 + d_recall_5 + d_recall_10 + d_rr + d_ndcg, 6) AS net, least(d_recall_1, d_recall_5, d_recall_10, d_rr, d_ndcg) < 0 AS regressed, greatest(d_recall_1, d_recall_5, d_recall_10, d_rr, d_ndcg) > 0 AS improved FROM d""",
     "changed_sources": f"WITH {_DOCS}, {_EARLIER}, {_STORED}, {_STATUS} SELECT source, status FROM status",
     "pruned_sources": f"WITH {_DOCS}, {_EARLIER}, {_STORED} SELECT source FROM stored WHERE starts_with(source, 'page://') AND source NOT IN (SELECT source FROM docs)",
     "upsert_merge": f"WITH {_DOCS}, {_EARLIER}, {_STORED} SELECT * FROM stored WHERE source NOT IN (SELECT source FROM docs) UNION ALL SELECT source, {_fp('content')} FROM docs",
     "orphan_chunks": f"WITH {_DOCS}, {_windows()} SELECT document_id AS doc_id, count(*) AS n_chunks FROM chunks WHERE document_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1",
+    "deleted_chunks": f"WITH {_DOCS}, {_windows()} SELECT document_id AS doc_id, count(*) AS n_chunks FROM chunks WHERE document_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1",
     "ingest_report": f"""WITH {_DOCS}, {_EARLIER}, {_STORED}, {_STATUS}, {_windows()}
       SELECT count(*) AS files_seen, count(*) FILTER (status IN ('new', 'changed')) AS documents_indexed, count(*) FILTER (status = 'unchanged') AS documents_skipped, count(*) FILTER (status = 'emptied') AS documents_emptied,
         (SELECT count(*) FROM stored WHERE source NOT IN (SELECT source FROM docs)) AS documents_pruned,
@@ -215,8 +228,8 @@ ORACLES: dict[str, str] = {
       CASE WHEN NOT (quality = 1 AND toxic = 1) THEN CAST(toxic AS INT) END AS n_claims, CASE WHEN NOT (quality = 1 AND toxic = 1) THEN 'doc ' || doc_id END AS reasoning FROM labels""",
     "answer_tallies": """SELECT count(*) AS n, count(*) FILTER (toxic <> 1 AND quality = 1) AS answered, count(*) FILTER (toxic <> 1 AND quality <> 1) AS abstained, count(*) FILTER (toxic = 1) AS rejected,
       count(*) FILTER (quality = 1) AS judged, count(*) FILTER (quality = 1 AND toxic = 0) AS faithful FROM labels""",
-    "echo_tallies": """WITH t AS (SELECT lower(coalesce(text, '')) AS x FROM conversations), o AS (SELECT CASE WHEN trim(x) = '' THEN 'abstained' WHEN contains(x, ' of ') THEN 'cited_decoy' WHEN contains(x, ' the ') THEN 'cited_positive' ELSE 'rejected' END AS o FROM t)
+    "echo_tallies": """WITH t AS (SELECT lower(coalesce(text, '')) AS x, turn FROM conversations), o AS (SELECT CASE WHEN trim(x) = '' THEN 'abstained' WHEN contains(x, ' of ') THEN 'cited_decoy' WHEN contains(x, ' the ') AND turn % 2 = 1 THEN 'cited_positive' ELSE 'rejected' END AS o FROM t)
       SELECT count(*) AS n, count(*) FILTER (o = 'cited_positive') AS cited_positive, count(*) FILTER (o = 'cited_decoy') AS cited_decoy, count(*) FILTER (o = 'abstained') AS abstained, count(*) FILTER (o = 'rejected') AS rejected FROM o""",
-    "corpus_hash": "SELECT sha256(string_agg(lpad(CAST(item_id AS VARCHAR), 12, '0') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY item_id)) AS corpus_hash, count(*) AS n FROM benchmark",
-    "stream_ingest": f"WITH {_DOCS} SELECT source, {_fp('content')} AS fingerprint, CAST(length(content) AS INT) AS n_chars FROM docs",
+    "corpus_hash": "SELECT sha256(string_agg(lpad(CAST(item_id AS VARCHAR), 12, '0') || chr(0) || coalesce(text, '') || chr(0), '' ORDER BY item_id)) AS corpus_hash, count(*) AS n FROM benchmark",
+    "stream_ingest": f"WITH {_DOCS} SELECT source, {_fp('content')} AS fingerprint, CAST(length(content) AS INT) AS n_chars FROM docs WHERE NOT {_BLANK.format('content')}",
 }

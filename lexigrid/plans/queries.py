@@ -10,12 +10,12 @@ from lexigrid.functions import text as T
 from lexigrid.functions import urls, vectors
 from lexigrid.operators import chunking, citations, context, dense, evaluation, fusion, ingest, lexical
 from lexigrid.operators.html_text import html_text as to_text
+from lexigrid.operators.joins import few, hinted
+from lexigrid.operators.metadata import matches
 from lexigrid.operators.redaction import redacted, restored
 from lexigrid.streaming.ingest import stream_ingest
 
 K = 10
-#: Width of the test embedder in queries that compare all windows.
-HYBRID_DIMS = 32
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +40,11 @@ def tokenize_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.document_frequency(lexical.token_counts(chunking.whole_documents(documents(spark, sf_dir))))
+    return lexical.term_counts(documents(spark, sf_dir))
 
 
 def length_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.length_stats(chunking.whole_documents(documents(spark, sf_dir))).withColumn("avg_len", F.round("avg_len", 6))
+    return lexical.length_stats(documents(spark, sf_dir)).withColumn("avg_len", F.round("avg_len", 6))
 
 
 def _hits(hits: DataFrame, *columns: str) -> DataFrame:
@@ -80,10 +80,14 @@ def bm25_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(lexical.search_lexical(items(spark, sf_dir), chunking.fixed_windows(documents(spark, sf_dir)), K), "chunk_index")
 
 
-def result_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+def _cited(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    docs, queries = documents(spark, sf_dir), items(spark, sf_dir)
     chunks = chunking.fixed_windows(docs)
-    out = citations.with_citations(lexical.search_lexical(items(spark, sf_dir), chunks, D.TOP_K), chunks, docs)
+    return citations.with_citations(lexical.search_lexical(queries, chunks, k), chunks, docs, few(queries))
+
+
+def result_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _cited(spark, sf_dir, D.TOP_K)
     return out.select("query_id", "rank", "score", "is_high_confidence", "citation.source", "citation.start_offset", "citation.end_offset", "citation.source_class")
 
 
@@ -114,6 +118,14 @@ def dense_label_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.search_dense(queries, rows, K, by_label=True).select("query_id", "rank", "vec_id", "score")
 
 
+def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits among the vectors whose metadata holds all wanted entries; a key that is absent never matches."""
+    queries, rows = _vectors(spark, sf_dir)
+    parity = F.when(F.col("vec_id") % 3 != 0, F.map_from_arrays(F.array(F.lit("label"), F.lit("odd")), F.array(F.col("label").cast("string"), (F.col("vec_id") % 2).cast("string"))))
+    held = rows.withColumn("metadata", F.coalesce(parity, F.create_map(F.lit("label"), F.col("label").cast("string"))))
+    return dense.search_dense(queries, held.filter(matches(F.col("metadata"), {"label": "3", "odd": "1"})), K).select("query_id", "rank", "vec_id", "score")
+
+
 def hash_embed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).select(F.col("document_id").alias("doc_id"), vectors.hash_embedding(F.col("content")).alias("v"))
     return rows.select("doc_id", F.size("v").alias("dims"), *[F.round(F.get("v", F.lit(k)), 6).alias(f"v{k}") for k in (0, 1, 7, 8, 383)])
@@ -123,23 +135,17 @@ def hash_embed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dense_windows(spark: SparkSession, sf_dir: str, chunks: DataFrame, k: int) -> DataFrame:
-    queries = items(spark, sf_dir).select("query_id", vectors.hash_embedding(F.col("query"), HYBRID_DIMS).alias("vector"))
-    rows = chunks.select(F.concat_ws(":", "content_hash", F.lpad(F.col("document_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_index").cast("string"), 8, "0")).alias("key"), vectors.hash_embedding(F.col("content"), HYBRID_DIMS).alias("vector"))
-    hits = dense.search_dense(queries, rows, k, key="key")
-    part = F.split("key", ":")
-    return hits.select("query_id", F.get(part, F.lit(0)).alias("content_hash"), F.get(part, F.lit(1)).cast("bigint").alias("document_id"), F.get(part, F.lit(2)).cast("int").alias("chunk_index"), "rank", "score")
+    queries = items(spark, sf_dir).select("query_id", vectors.hash_embedding(F.col("query")).alias("vector"))
+    return dense.search_dense(queries, chunks, k, keys=lexical.TIES, embed=vectors.hash_vectors)
 
 
 def rrf_two_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 over whole documents, fused with a ranking by shared distinct terms."""
-    chunks = chunking.whole_documents(documents(spark, sf_dir))
     queries = items(spark, sf_dir)
-    terms = lexical.query_terms(queries)
-    index = lexical.build_index(chunks, terms)
-    first = lexical.top_k(lexical.bm25_scores(queries, index), K)
-    shared = index.postings.join(F.broadcast(terms), "term").groupBy("query_id", "chunk_id", *lexical.TIES).agg(F.count(F.lit(1)).cast("double").alias("score"))
-    second = lexical.top_k(shared, K)
-    fused = fusion.reciprocal_rank_fusion([first, second], ["chunk_id"], K, ties=lexical.TIES)
+    postings = lexical.build_postings(chunking.whole_documents(documents(spark, sf_dir)), queries)
+    first = lexical.top_k(lexical.bm25_scores(queries, postings), K)
+    shared = postings.join(hinted(lexical.query_terms(queries), few(queries)), "term").groupBy("query_id", *lexical.TIES).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    fused = fusion.reciprocal_rank_fusion([first, lexical.top_k(shared, K)], list(lexical.KEY), K, ties=lexical.TIES)
     return fused.select("query_id", "rank", F.col("document_id").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
@@ -147,19 +153,23 @@ def hybrid_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.fixed_windows(documents(spark, sf_dir))
     first = lexical.search_lexical(items(spark, sf_dir), chunks, K)
     second = _dense_windows(spark, sf_dir, chunks, K)
-    fused = fusion.reciprocal_rank_fusion([first, second], ["content_hash", "document_id", "chunk_index"], K, ties=("content_hash", "document_id", "chunk_index"))
+    fused = fusion.reciprocal_rank_fusion([first, second], list(lexical.KEY), K, ties=lexical.TIES)
     return fused.select("query_id", "rank", F.col("document_id").alias("doc_id"), "chunk_index", F.round("score", 9).alias("score"))
 
 
-def sigmoid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25's hits reordered by a stand-in for a model: a logit from the length of the overlap."""
+def _bm25_and_rerank(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """BM25's hits, and their order by a stand-in for a model: a logit from the length of the overlap. Both come from one exchange."""
     docs, queries = documents(spark, sf_dir), items(spark, sf_dir)
+    small = few(queries)
     hits = lexical.search_lexical(queries, chunking.whole_documents(docs), K)
     text = docs.select("document_id", "content", "source")
-    pairs = text.join(F.broadcast(hits.select("query_id", "document_id")), "document_id").join(F.broadcast(queries), "query_id")
+    pairs = text.join(hinted(hits.select("query_id", "document_id"), small), "document_id").join(hinted(queries, small), "query_id")
     logit = evaluation.token_overlap(F.col("query"), F.col("content")) * 12 - 6
-    out = fusion.rerank(pairs.withColumn("start_offset", F.lit(0)), logit, K, ("source", "start_offset"))
-    return out.select("query_id", "rank", F.col("document_id").alias("doc_id"), "score")
+    return hits, fusion.rerank(pairs.withColumn("start_offset", F.lit(0)), logit, K, ("source", "start_offset"))
+
+
+def sigmoid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bm25_and_rerank(spark, sf_dir)[1].select("query_id", "rank", F.col("document_id").alias("doc_id"), "score")
 
 
 # evaluation
@@ -181,7 +191,7 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = chunking.fixed_windows(documents(spark, sf_dir))
     gold = evaluation.gold_chunks(_spans(spark, sf_dir), chunks)
     hits = lexical.search_lexical(items(spark, sf_dir), chunks, K)
-    return evaluation.query_metrics(hits, gold)
+    return evaluation.query_metrics(hits, gold, lexical.KEY)
 
 
 def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,15 +206,21 @@ def ndcg_at_10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _metrics(spark, sf_dir).select("query_id", F.round("ndcg", 6).alias("ndcg"))
 
 
-def _stage_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _stage_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = _bm25_and_rerank(spark, sf_dir)
+    return first.select(F.lit("bm25").alias("stage"), "query_id", "rank", "document_id").union(second.select(F.lit("rerank").alias("stage"), "query_id", "rank", "document_id"))
+
+
+def _stage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two stages over whole documents: BM25 as the baseline, and BM25 reordered by token overlap."""
-    docs, queries = documents(spark, sf_dir), items(spark, sf_dir)
-    spans = _spans(spark, sf_dir).select("query_id", F.col("document_id").alias("doc_id")).distinct()
-    first = bm25_docs(spark, sf_dir).select(F.lit("bm25").alias("stage"), "query_id", "rank", "doc_id")
-    second = sigmoid_rerank(spark, sf_dir).select(F.lit("rerank").alias("stage"), "query_id", "rank", "doc_id")
+    spans = _spans(spark, sf_dir).select("query_id", "document_id").distinct()
     sizes = spans.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    category = queries.join(sizes, "query_id").select("query_id", F.when(F.col("n") > 1, "ambiguous").otherwise("normal").alias("category"))
-    return evaluation.by_stage_and_category(evaluation.query_metrics(first.union(second), spans, "doc_id", ("stage",)).join(category, "query_id"))
+    category = sizes.select("query_id", F.when(F.col("n") > 1, "ambiguous").otherwise("normal").alias("category"))
+    return evaluation.query_metrics(_stage_hits(spark, sf_dir), spans, ("document_id",), ("stage",)).join(category, "query_id")
+
+
+def _stage_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.by_stage_and_category(_stage_metrics(spark, sf_dir))
 
 
 def stage_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +231,22 @@ def stage_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.stage_deltas(_stage_means(spark, sf_dir).filter("category IS NULL"), "bm25")
 
 
+def rerank_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rerank stage adds to the stage whose hits it reorders, here the ranking by shared terms."""
+    queries, docs = items(spark, sf_dir), documents(spark, sf_dir)
+    small = few(queries)
+    postings = lexical.build_postings(chunking.whole_documents(docs), queries)
+    shared = postings.join(hinted(lexical.query_terms(queries), small), "term").groupBy("query_id", *lexical.TIES).agg(F.count(F.lit(1)).cast("double").alias("score"))
+    first = lexical.top_k(lexical.bm25_scores(queries, postings), K)
+    second = lexical.top_k(shared, K)
+    pairs = docs.select("document_id", "source", F.length("content").alias("n")).join(hinted(second.select("query_id", "document_id"), small), "document_id")
+    third = fusion.rerank(pairs.withColumn("start_offset", F.lit(0)), 1000.0 / (F.col("n") + 1) - 1, K, ("source", "start_offset"))
+    hits = [h.select(F.lit(n).alias("stage"), "query_id", "rank", "document_id") for n, h in (("bm25", first), ("overlap", second), ("rerank", third))]
+    spans = _spans(spark, sf_dir).select("query_id", "document_id").distinct()
+    metrics = evaluation.query_metrics(hits[0].union(hits[1]).union(hits[2]), spans, ("document_id",), ("stage",))
+    return evaluation.stage_deltas(evaluation.by_stage(metrics), "overlap", "rerank")
+
+
 def percentile_nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(*[evaluation.nearest_rank("value", q / 100).alias(f"p{q}") for q in (50, 95, 99)])
 
@@ -225,11 +257,10 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of conversations as queries: a turn abstains if no document shares a term with it."""
+    """Turns of conversations as queries over whole documents: how many get no hit of a score of 4 or more from BM25."""
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), "role", F.coalesce("text", F.lit("")).alias("query"))
-    vocabulary = documents(spark, sf_dir).select(F.explode(T.tokens(F.col("content"))).alias("term")).distinct()
-    reached = lexical.query_terms(turns).join(vocabulary, "term", "left_semi")
-    return evaluation.abstentions(turns, reached, "role")
+    hits = lexical.search_lexical(turns, chunking.whole_documents(documents(spark, sf_dir)), 1, threshold=4.0)
+    return evaluation.abstentions(turns, hits, "role")
 
 
 # incremental ingest: labelled documents and all pages are stored, all documents are current
@@ -265,10 +296,17 @@ def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.orphans(chunking.fixed_windows(documents(spark, sf_dir)), registered).groupBy(F.col("document_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_chunks"))
 
 
+def deleted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks that go with documents labelled toxic."""
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").alias("document_id"))
+    chunks = chunking.fixed_windows(documents(spark, sf_dir)).select("document_id")
+    return chunks.join(gone, "document_id", "left_semi").groupBy(F.col("document_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
 def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, stored = documents(spark, sf_dir), _stored(spark, sf_dir)
     status = ingest.diff_sources(docs, stored)
-    chunks = chunking.fixed_windows(docs).join(status.filter("status IN ('new', 'changed')").select("source"), "source", "left_semi")
+    chunks = chunking.fixed_windows(docs).select("source").join(status.filter("status IN ('new', 'changed')").select("source"), "source", "left_semi")
     return ingest.report(status, ingest.pruned_sources(docs, stored, ""), chunks)
 
 
@@ -298,20 +336,14 @@ def credential_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 # boundary operators
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    chunks = chunking.fixed_windows(docs)
-    return citations.with_citations(lexical.search_lexical(items(spark, sf_dir), chunks, K), chunks, docs)
-
-
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = context.within_budget(_results(spark, sf_dir), T.token_estimate(F.col("content")), 1000)
+    kept = context.within_budget(_cited(spark, sf_dir, K), T.token_estimate(F.col("content")), 1000)
     return kept.select("query_id", "rank", "tokens", "running")
 
 
 def framed_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     block = T.framed(F.col("content"), F.col("citation.document_id"), F.concat_ws(":", F.col("citation.document_id").cast("string"), F.col("chunk_index").cast("string")), F.col("citation.source"))
-    return _results(spark, sf_dir).select("query_id", "rank", T.content_hash(block).alias("block_hash"), F.length(block).alias("n_chars"))
+    return _cited(spark, sf_dir, K).select("query_id", "rank", T.content_hash(block).alias("block_hash"), F.length(block).alias("n_chars"))
 
 
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,22 +379,22 @@ def answer_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def echo_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as answers that must echo one frequent word and not another."""
     text = F.lower(F.coalesce("text", F.lit("")))
-    outcome = context.echo_outcome(text, F.lit(" the "), F.lit(" of "), F.col("turn") >= 0)
+    outcome = context.echo_outcome(text, F.lit(" the "), F.lit(" of "), F.col("turn") % 2 == 1)
     return context.echo_tallies(table(spark, sf_dir, "conversations").select(outcome.alias("outcome")))
 
 
 def corpus_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One digest of the benchmark in the order of its ids: a labelled corpus is small enough to be hashed in one place."""
     rows = table(spark, sf_dir, "benchmark").select(F.struct(F.lpad(F.col("item_id").cast("string"), 12, "0").alias("path"), F.coalesce("text", F.lit("")).alias("text")).alias("r"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat(r["path"], F.lit("\n"), r["text"], F.lit("\n"))), "")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: F.concat(r["path"], F.lit("\x00"), r["text"], F.lit("\x00"))), "")
     return rows.agg(F.sha2(joined.cast("binary"), 256).alias("corpus_hash"), F.count(F.lit(1)).alias("n"))
 
 
 NAMES = (
     tokenize_counts, term_df, length_stats, bm25_docs, bm25_repeated_terms, content_hash_dups, fixed_windows, recursive_chunks, bm25_windows,
-    result_citations, snippets, dense_topk, dense_threshold, dense_label_filter, hash_embed_docs, rrf_two_lists, hybrid_windows, sigmoid_rerank,
-    gold_spans, gold_chunks, recall_at_k, mrr, ndcg_at_10, stage_by_category, stage_delta, percentile_nearest_rank, token_overlap, abstention,
-    changed_sources, pruned_sources, upsert_merge, orphan_chunks, ingest_report, citation_verdicts, html_text, url_refusals, credential_params,
+    result_citations, snippets, dense_topk, dense_threshold, dense_label_filter, metadata_filter, hash_embed_docs, rrf_two_lists, hybrid_windows, sigmoid_rerank,
+    gold_spans, gold_chunks, recall_at_k, mrr, ndcg_at_10, stage_by_category, stage_delta, rerank_attribution, percentile_nearest_rank, token_overlap, abstention,
+    changed_sources, pruned_sources, upsert_merge, orphan_chunks, deleted_chunks, ingest_report, citation_verdicts, html_text, url_refusals, credential_params,
     context_budget, framed_context, pii_counts, redacted_docs, marker_parse, verdict_parse, answer_tallies, echo_tallies, corpus_hash, stream_ingest,
 )
 

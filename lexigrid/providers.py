@@ -9,6 +9,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexigrid import defaults as D
 from lexigrid.errors import ConfigError, ProviderError
@@ -34,7 +35,7 @@ class PairScorer(Protocol):
 
 @dataclass(frozen=True)
 class HashEmbedder:
-    """The test embedder: JVM-side, without meaning."""
+    """The test embedder, without meaning."""
 
     dims: int = D.HASH_EMBED_DIMS
 
@@ -70,7 +71,7 @@ class FunctionEmbedder:
 
 def pair_logits(pairs: DataFrame, load: Callable[[], PairScorer], query: str = "query", content: str = "content") -> DataFrame:
     """Add ``logit`` to pairs: the scorer is loaded once a task and gets the texts of one query together."""
-    schema = pairs.schema.add("logit", "double")
+    schema = StructType([*pairs.schema.fields, StructField("logit", DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = load()

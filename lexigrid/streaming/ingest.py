@@ -7,36 +7,34 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.operators import ingest
-from lexigrid.sources.collection import Collection
+from lexigrid.plans.engine import Engine
+from lexigrid.shared import shared_folder
 
 
-def stream_into(stream: DataFrame, collection: Collection, checkpoint: str, settings: str = ingest.DEFAULT_SETTINGS):
-    """Start a query that upserts a stream (source, content) into a collection's ``documents``: a generation for each batch.
+def stream_into(stream: DataFrame, engine: Engine, name: str, checkpoint: str, version: str | None = None):
+    """Start a query that ingests a stream (source, content[, version]) into a collection, a generation for each batch that changes something.
 
-    A batch that is replayed after a failure finds its fingerprints stored and
-    changes nothing, so the result is the same as if it had run once.
+    Of several texts of one source in a batch, the one with the highest ``version``
+    stays (without that column: any one of them, the same on every run). A batch that is
+    replayed after a failure finds its fingerprints stored and commits nothing, so the
+    result is the same as if it had run once. What a batch leaves out is not pruned.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        new = batch.filter(F.col("source").isNotNull()).groupBy("source").agg(F.max("content").alias("content")).select("source", ingest.fingerprint(F.col("content"), settings).alias("fingerprint"), F.length("content").alias("n_chars"))
-        collection.refresh()
-        if collection.has("documents"):
-            stored = collection.read("documents")
-            new = ingest.upsert(stored, new)
-        collection.commit({"documents": new})
-        collection.drop_old()
+        order = F.struct(*([F.col(version)] if version else []), "content")
+        newest = batch.filter("source IS NOT NULL").groupBy("source").agg(F.max_by("content", order).alias("content"))
+        engine.ingest(name, newest.select(F.sha2(F.col("source").cast("binary"), 256).alias("document_id"), "source", "content"), prune=False)
+        engine.collection(name).drop_old()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of ``documents`` as a file stream into a fresh collection; returns the last generation."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lexigrid-stream"
-    place = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    collection = Collection(spark, f"{place}/collections", "documents")
+    """All of ``documents`` as a file stream into a fresh collection; returns its documents at the last generation."""
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    engine = Engine(spark, f"{place}/collections")
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/documents.parquet*")
-    rows = source.select(F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source"), F.coalesce("text", F.lit("")).alias("content"))
-    stream_into(rows, collection, f"{place}/progress").awaitTermination()
-    return collection.read("documents")
+    rows = source.select(F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source"), F.coalesce("text", F.lit("")).alias("content"), F.col("_metadata.file_modification_time").alias("at"))
+    stream_into(rows, engine, "documents", f"{place}/progress", "at").awaitTermination()
+    return engine.collection("documents").read("documents").select("source", "fingerprint", "n_chars")
