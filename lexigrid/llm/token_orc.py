@@ -5,14 +5,14 @@ encoded, stripes are read in parallel, and row indexes and Bloom filters on the
 document id let a reader skip stripes and row groups.
 
 Pre-tokens of a byte-level BPE never span a single space or line feed between two
-other characters, so a text is cut there and equal pieces are encoded once a
-worker. A text with any other use of spaces and line feeds is encoded as a whole.
+other characters, so a batch of texts is cut there, its distinct pieces are found in
+Arrow, and a worker encodes those that it has not met yet. A text with any other use
+of spaces and line feeds is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,13 +31,14 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces a worker remembers.
 REMEMBERED = 600_000
-#: Texts that are encoded at a time; it bounds what a worker holds besides its pieces.
-SLICE = 1024
+#: Bytes of text that are encoded at a time (one text at least); it bounds what a worker holds besides its pieces.
+SLICE = 4_000_000
 #: How the files are laid out; the stripe size is in bytes, the stride in rows.
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": "67108864", "orc.row.index.stride": "2000"}
 
-_OTHER_SPACE = re.compile(r"[\t\x0b\x0c\r\x1c-\x1f\x85\xa0  -     　]")
-_NOT_SINGLE = re.compile(r"[ \n]\s|\s[ \n]")
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space at an end of the text, or beside a space or line feed.
+_NOT_SINGLE = rf"[ \n]{_WHITE}|{_WHITE}[ \n]|^{_WHITE}|{_WHITE}$|^$"
 
 
 class _Pieces(dict):
@@ -68,34 +70,40 @@ class _Pieces(dict):
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_lines(self, lines: list[str]) -> list[np.ndarray]:
-        """The ids of lines (none of which holds a line feed), many in a call: they are joined by line feeds and the ids cut at those."""
-        if len(self.feed) != 1:
-            return [np.array(x, np.int32) for x in self.encode(lines)]
-        out: list[np.ndarray] = []
-        for ids in self.encode(["\n".join(lines[at : at + 256]) for at in range(0, len(lines), 256)]):
-            row = np.array(ids, np.int32)
-            cuts = np.flatnonzero(row == self.feed[0])
-            out += [row[a:b] for a, b in zip([0, *(cuts + 1)], [*cuts, len(row)], strict=True)]
-        return out if len(out) == len(lines) else [np.array(x, np.int32) for x in self.encode(lines)]
+    def _encode_lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and first place and number of each line's (none of which holds a line feed): many are joined by line feeds in a call."""
+        if len(self.feed) == 1:
+            feed = np.array(self.feed, np.int32)
+            parts = [x for ids in self.encode(["\n".join(lines[at : at + 256]) for at in range(0, len(lines), 256)]) for x in (np.array(ids, np.int32), feed)]
+            flat = np.concatenate(parts)
+            cuts = np.flatnonzero(flat == feed[0])
+            if len(cuts) == len(lines):
+                starts = np.concatenate([[0], cuts[:-1] + 1])
+                return flat, starts, cuts - starts
+        each = [np.array(x, np.int32) for x in self.encode(lines)]
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        return np.concatenate(each), np.cumsum(counts) - counts, counts
 
     def settle(self) -> None:
         """Encode the pieces that were met since the last call. A word's final stop or comma is a pre-token of its own."""
         if not self.new:
             return
         stems = [p[:-1] if p[-1] in self.tails and p[-2:-1].isalnum() else p for p in self.new]
-        wanted = list(dict.fromkeys(stems))
-        head = [w for w in wanted if w[0] == "\n"]
-        other = [w for w in wanted if w[0] != "\n"]
-        ids = dict(zip(head, self._encode_lines([w[1:] for w in head]), strict=True)) if head else {}
-        ids |= dict(zip(other, self._encode_lines([" " + w for w in other]), strict=True)) if other else {}
-        feed, none = np.array(self.feed, np.int32), np.empty(0, np.int32)
-        tails = {c: np.array(t, np.int32) for c, t in self.tails.items()}
-        parts = [x for p, s in zip(self.new, stems, strict=True) for x in (feed if p[0] == "\n" else none, ids[s], tails[p[-1]] if s is not p else none)]
-        counts = np.fromiter(map(len, parts), np.int64, len(parts)).reshape(-1, 3).sum(axis=1)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
-        self.flat = np.concatenate([self.flat, *parts])
+        place = {w: n for n, w in enumerate(dict.fromkeys(stems))}
+        flat, starts, counts = self._encode_lines([w[1:] if w[0] == "\n" else " " + w for w in place])
+        own = np.fromiter(map(place.__getitem__, stems), np.int64, len(stems))
+        # a piece's ids: the line feed that begins it, its stem, its tail
+        tails = ["", *self.tails]
+        ends = np.concatenate([[0], np.cumsum([0, *map(len, self.tails.values())])])
+        tail = np.fromiter((tails.index(p[-1]) if s is not p else 0 for p, s in zip(self.new, stems, strict=True)), np.int64, len(stems))
+        begins = np.fromiter((p[0] == "\n" for p in self.new), bool, len(stems)) * len(self.feed)
+        source = np.concatenate([np.array(self.feed, np.int32), *(np.array(t, np.int32) for t in self.tails.values()), flat])
+        widths = np.stack([begins, counts[own], np.diff(ends)[tail]], axis=1)
+        places = np.stack([np.zeros_like(own), starts[own] + len(self.feed) + ends[-1], ends[tail] + len(self.feed)], axis=1)
+        total = widths.sum(axis=1)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(total) - total])
+        self.count = np.concatenate([self.count, total])
+        self.flat = np.concatenate([self.flat, source[_spread(widths.ravel(), places.ravel())]])
         self.new = []
 
 
@@ -106,46 +114,77 @@ def _pieces(path: str) -> _Pieces:
     return _Pieces(path if "/" in path else public_tokenizers.path(path))
 
 
-def only_single_spaces(text: str) -> bool:
-    """Whether every space and line feed has a character other than white space on both sides."""
-    if not text or text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
-        return False
-    return not (_OTHER_SPACE.search(text) and _NOT_SINGLE.search(text))
+def only_single_spaces(texts: pa.Array) -> np.ndarray:
+    """Whether every space and line feed of a text has a character other than white space on both sides."""
+    return ~pc.match_substring_regex(texts, _NOT_SINGLE).to_numpy(zero_copy_only=False)
 
 
-def encode_texts(texts: list[str | None], tokenizer: str = TOKENIZER) -> Iterator[np.ndarray]:
-    """The ids of each text (null as empty) and END_ID after them."""
+def _spread(sizes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places of runs: run i has sizes[i] places from starts[i] on."""
+    ends = np.cumsum(sizes)
+    out = np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
+def _encode_regular(pieces: _Pieces, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, end to end, and their number for each text; END_ID is behind each.
+
+    A line feed is put before every text, so that its first piece is one that begins a line.
+    """
+    lines = pc.binary_join_element_wise(pa.scalar("", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("\n", texts.type))
+    split = pc.split_pattern(lines, " ")
+    known = pc.dictionary_encode(split.values)
+    distinct = known.dictionary.to_pylist()
+    rows = np.fromiter(map(pieces.__getitem__, distinct), np.int64, len(distinct))
+    pieces.settle()
+    own = rows[known.indices.to_numpy(zero_copy_only=False)]
+    counts = pieces.count[own]
+    ids = pieces.flat[_spread(counts, pieces.start[own])]
+    ends = np.concatenate([[0], np.cumsum(counts)])[split.offsets.to_numpy()]
+    # the first id of a text's line feed makes room for END_ID, any further ones go
+    extra = len(pieces.feed) - 1
+    if extra:
+        ids = np.delete(ids, (ends[:-1, None] + 1 + np.arange(extra)).ravel())
+        ends = ends - extra * np.arange(len(ends))
+    out = np.empty(len(ids), np.int32)
+    out[:-1] = ids[1:]
+    out[ends[1:] - 1] = END_ID
+    return out, np.diff(ends)
+
+
+def encode_texts(texts: pa.Array, tokenizer: str = TOKENIZER) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each slice of the texts (null as empty): all their ids, end to end, with END_ID behind each text, and how many a text has."""
     pieces = _pieces(tokenizer)
-    for at in range(0, len(texts), SLICE):
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    sizes = pc.binary_length(texts).to_numpy()
+    part_of = (np.cumsum(sizes) - sizes) // SLICE
+    for part in np.unique(part_of):
         if len(pieces) >= REMEMBERED:
             pieces.reset()
-        part = [t or "" for t in texts[at : at + SLICE]]
-        split = [("\n" + t).replace("\n", " \n")[1:].split(" ") if only_single_spaces(t) else None for t in part]
-        whole = iter(pieces.encode([t for t, s in zip(part, split, strict=True) if s is None]))
-        rows = [None if s is None else np.fromiter(map(pieces.__getitem__, s), np.int64, len(s)) for s in split]
-        pieces.settle()
-        for own in rows:
-            if own is None:
-                yield np.array([*next(whole), END_ID], np.int32)
-                continue
-            counts = pieces.count[own]
-            ends = np.cumsum(counts)
-            total = int(ends[-1])
-            out = np.empty(total - len(pieces.feed) + 1, np.int32)
-            # the line feed that was put before the first line is left out
-            out[:-1] = pieces.flat[np.arange(total) + np.repeat(pieces.start[own] - (ends - counts), counts)][len(pieces.feed) :]
-            out[-1] = END_ID
-            yield out
+        first, last = np.searchsorted(part_of, [part, part + 1])
+        own = texts.slice(first, last - first)
+        regular = only_single_spaces(own)
+        counts = np.zeros(len(own), np.int64)
+        ids, counts[regular] = _encode_regular(pieces, own.filter(pa.array(regular))) if regular.any() else (np.empty(0, np.int32), 0)
+        if not regular.all():
+            whole = [np.array([*x, END_ID], np.int32) for x in pieces.encode(own.filter(pa.array(~regular)).to_pylist())]
+            counts[~regular] = [len(x) for x in whole]
+            starts, both = np.cumsum(counts) - counts, np.empty(int(counts.sum()), np.int32)
+            both[_spread(counts[regular], starts[regular])] = ids
+            both[_spread(counts[~regular], starts[~regular])] = np.concatenate(whole)
+            ids = both
+        yield ids, counts
 
 
 def _encode(tokenizer: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                ids = list(encode_texts(part.column("text").to_pylist(), tokenizer))
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+            at = 0
+            for ids, counts in encode_texts(batch.column("text"), tokenizer):
+                part = batch.slice(at, len(counts))
+                at += len(counts)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), lists], names=["doc_id", "row", "ids"])
 
     return run
@@ -155,6 +194,8 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer: str = TOKENIZER) -> N
     """Write (doc_id, row, ids) in ascending order of doc_id: file names and rows in a file follow it.
 
     A null id comes first; rows that repeat an id keep the order that ``row`` records.
+    A null or empty text has END_ID alone; extra columns are ignored; an empty table
+    gives no rows.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     numbered = ordered.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
@@ -173,13 +214,13 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files.
 
-    A file's first position is the sum of the files before it (one narrow row a
-    file); within a file rows are summed in their order, a task for each file.
+    A file's first position is the sum of the files before it in the order of their
+    rows (one narrow row a file); within a file rows are summed in their order, a task for each file.
     """
-    stored = spark.read.orc(path).select("doc_id", "row", "ids", F.col("_metadata.file_name").alias("file"))
+    stored = spark.read.schema("doc_id long, row long, ids array<int>").orc(path).select("doc_id", "row", "ids", F.col("_metadata.file_name").alias("file"))
     rows = cut(stored.mapInArrow(_digest, "doc_id long, row long, file string, n_tokens long, ids_crc32 long"), "token-digest")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    before = Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)
+    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"), F.min("row").alias("first")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     within = Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     return placed.join(files, "file").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -85,6 +86,8 @@ def test_token_orc_round_trip(spark, odd, tmp_path):
         ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
         assert (-1 if r.doc_id is None else r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    token_orc.write_token_orc(odd.limit(0), f"{path}-empty")
+    assert token_orc.read_token_orc(spark, f"{path}-empty").isEmpty()
     one = spark.read.orc(path).filter("doc_id = 5")
     assert "EqualTo(doc_id,5)" in one._jdf.queryExecution().toString() and one.count() == 1
 
@@ -94,7 +97,10 @@ def test_pieces_equal_whole_texts():
     parts = [" ", " ", "\n", "\t", "a", "B", "'s", "é", "1", "!", ",", ".", " ", "　", "<|endoftext|>", "日", "word", "\r", "🙂", "don't", "\x1c", "\x85"]
     made = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(5000)]
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    assert [e.ids + [0] for e in tokenizer.encode_batch(made, add_special_tokens=False)] == [x.tolist() for x in token_orc.encode_texts(made)]
+    want = [e.ids + [0] for e in tokenizer.encode_batch(made, add_special_tokens=False)]
+    ids, counts = (np.concatenate(x) for x in zip(*token_orc.encode_texts(pa.array(made)), strict=True))
+    assert [len(x) for x in want] == counts.tolist() and [i for x in want for i in x] == ids.tolist()
+    assert not list(token_orc.encode_texts(pa.array([], pa.string())))
 
 
 def test_language_models(spark, sf, odd, empty):
