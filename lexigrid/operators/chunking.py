@@ -39,14 +39,20 @@ def whole_documents(docs: DataFrame) -> DataFrame:
 
 
 def fixed_windows(docs: DataFrame, size: int = D.CHUNK_SIZE, overlap: int = D.CHUNK_OVERLAP) -> DataFrame:
-    """Windows of fixed size; blank ones are dropped, the first that reaches the end is the last. Narrow: no shuffle."""
+    """Windows of fixed size; blank ones are dropped, the first that reaches the end is the last. Narrow: no shuffle.
+
+    A text is cut into steps once, and a window is put together from its steps, so the
+    work grows with the text's length and not with its square.
+    """
     check_sizes(size, overlap)
     step = max(1, size - overlap)
-    n = F.length("content")
-    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.greatest(n - size, F.lit(0)) / step).cast("int")), lambda i: i * step)
-    kept = F.filter(F.transform(starts, lambda s: F.struct(s.alias("start"), F.least(s + size, n).alias("end"))), lambda w: ~is_blank(F.substring(F.col("content"), w["start"] + 1, w["end"] - w["start"])))
-    spans = docs.filter("length(content) > 0").select("document_id", "source", "content", F.posexplode(kept).alias("chunk_index", "w"))
-    return _finish(spans.select("document_id", "source", "chunk_index", F.col("w.start").alias("start_offset"), F.col("w.end").alias("end_offset"), F.substring("content", F.col("w.start") + 1, F.col("w.end") - F.col("w.start")).alias("content")))
+    steps = F.regexp_extract_all(F.col("content"), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    last = F.ceil(F.greatest(F.length("content") - size, F.lit(0)) / step).cast("int")
+    of = lambda i: F.substring(F.array_join(F.slice("steps", i + 1, -(-size // step)), ""), 1, size)
+    windows = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.struct((i * step).alias("start"), of(i).alias("text")))
+    cut = docs.filter("length(content) > 0").select("document_id", "source", steps.alias("steps"), last.alias("last"))
+    spans = cut.select("document_id", "source", F.posexplode(F.filter(windows, lambda w: ~is_blank(w["text"]))).alias("chunk_index", "w"))
+    return _finish(spans.select("document_id", "source", "chunk_index", F.col("w.start").alias("start_offset"), (F.col("w.start") + F.length("w.text")).alias("end_offset"), F.col("w.text").alias("content")))
 
 
 def recursive_spans(text: str, size: int = D.CHUNK_SIZE, overlap: int = D.CHUNK_OVERLAP, separators: Sequence[str] = D.SEPARATORS) -> list[tuple[int, int]]:

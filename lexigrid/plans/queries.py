@@ -11,6 +11,7 @@ from lexigrid.functions import urls, vectors
 from lexigrid.operators import chunking, citations, context, dense, evaluation, fusion, ingest, lexical
 from lexigrid.operators.html_text import html_text as to_text
 from lexigrid.operators.joins import few, hinted
+from lexigrid.operators.layout import spread
 from lexigrid.operators.metadata import matches
 from lexigrid.operators.redaction import redacted, restored
 from lexigrid.streaming.ingest import stream_ingest
@@ -24,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` as the library takes them; the source column is not unique, so the id makes the source."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source"), F.coalesce("text", F.lit("")).alias("content"))
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("doc://"), F.col("doc_id").cast("string")).alias("source"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,7 +321,7 @@ def citation_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", to_text(F.col("html")).alias("text")).withColumn("n_chars", F.length("text"))
+    return spread(table(spark, sf_dir, "pages"), "page_id").select("page_id", to_text(F.col("html")).alias("text")).withColumn("n_chars", F.length("text"))
 
 
 def url_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
