@@ -30,9 +30,9 @@ from lexigrid.llm._shared import cut, shared_dir, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 #: Bytes of text that are encoded at a time (one text at least); it bounds what a worker holds besides its pieces.
-SLICE = 4_000_000
+SLICE = 8_000_000
 #: How the files are laid out; the stripe size is in bytes, the stride in rows.
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": "67108864", "orc.row.index.stride": "2000"}
 
@@ -41,8 +41,8 @@ _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 _NOT_SINGLE = rf"[ \n]{_WHITE}|{_WHITE}[ \n]|^{_WHITE}|{_WHITE}$|^$"
 
 
-class _Pieces(dict):
-    """Piece to row; ``flat`` holds the ids, end to end.
+class _Pieces:
+    """Pieces and their ids, end to end. They are held as an Arrow array, so a worker can remember very many.
 
     A piece that begins with a line feed stands for itself, any other for itself
     with a space before it.
@@ -54,18 +54,14 @@ class _Pieces(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.feed = self.encode(["\n"])[0]
-        self.tails = {c: self.encode([c])[0] for c in ".,;:!?"}
+        #: A stop or comma behind a letter or digit is a pre-token of its own.
+        self.tails = {c: i[0] for c in ".,;:!?" if len(i := self.encode([c])[0]) == 1}
+        self.tail = rf"([\p{{L}}\p{{N}}])[{''.join(self.tails)}]$"
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.new: list[str] = []
-        self.flat, self.start, self.count = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
+        self.known = pa.array([], pa.large_string())
+        self.flat, self.start, self.count = np.zeros(1, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,8 +70,7 @@ class _Pieces(dict):
         """Ids, and first place and number of each line's (none of which holds a line feed): many are joined by line feeds in a call."""
         if len(self.feed) == 1:
             feed = np.array(self.feed, np.int32)
-            parts = [x for ids in self.encode(["\n".join(lines[at : at + 256]) for at in range(0, len(lines), 256)]) for x in (np.array(ids, np.int32), feed)]
-            flat = np.concatenate(parts)
+            flat = np.concatenate([x for ids in self.encode(["\n".join(lines[at : at + 256]) for at in range(0, len(lines), 256)]) for x in (np.array(ids, np.int32), feed)])
             cuts = np.flatnonzero(flat == feed[0])
             if len(cuts) == len(lines):
                 starts = np.concatenate([[0], cuts[:-1] + 1])
@@ -84,27 +79,27 @@ class _Pieces(dict):
         counts = np.fromiter(map(len, each), np.int64, len(each))
         return np.concatenate(each), np.cumsum(counts) - counts, counts
 
-    def settle(self) -> None:
-        """Encode the pieces that were met since the last call. A word's final stop or comma is a pre-token of its own."""
-        if not self.new:
-            return
-        stems = [p[:-1] if p[-1] in self.tails and p[-2:-1].isalnum() else p for p in self.new]
-        place = {w: n for n, w in enumerate(dict.fromkeys(stems))}
-        flat, starts, counts = self._encode_lines([w[1:] if w[0] == "\n" else " " + w for w in place])
-        own = np.fromiter(map(place.__getitem__, stems), np.int64, len(stems))
-        # a piece's ids: the line feed that begins it, its stem, its tail
-        tails = ["", *self.tails]
-        ends = np.concatenate([[0], np.cumsum([0, *map(len, self.tails.values())])])
-        tail = np.fromiter((tails.index(p[-1]) if s is not p else 0 for p, s in zip(self.new, stems, strict=True)), np.int64, len(stems))
-        begins = np.fromiter((p[0] == "\n" for p in self.new), bool, len(stems)) * len(self.feed)
-        source = np.concatenate([np.array(self.feed, np.int32), *(np.array(t, np.int32) for t in self.tails.values()), flat])
-        widths = np.stack([begins, counts[own], np.diff(ends)[tail]], axis=1)
-        places = np.stack([np.zeros_like(own), starts[own] + len(self.feed) + ends[-1], ends[tail] + len(self.feed)], axis=1)
-        total = widths.sum(axis=1)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(total) - total])
-        self.count = np.concatenate([self.count, total])
-        self.flat = np.concatenate([self.flat, source[_spread(widths.ravel(), places.ravel())]])
-        self.new = []
+    def rows(self, pieces: pa.Array) -> np.ndarray:
+        """The row of each of these distinct pieces; those that are new are encoded."""
+        if len(self.known) + len(pieces) > REMEMBERED:
+            self.reset()
+        rows = pc.fill_null(pc.index_in(pieces, value_set=self.known), -1).to_numpy(zero_copy_only=False).copy()
+        fresh = np.flatnonzero(rows < 0)
+        if len(fresh):
+            new = pieces.take(pa.array(fresh))
+            words = new.to_pylist()
+            flat, starts, counts = self._encode_lines([w[1:] if w[0] == "\n" else " " + w for w in words])
+            # the line feed that begins a piece comes first
+            head = np.fromiter((w[0] == "\n" for w in words), bool, len(words)) * len(self.feed)
+            source = np.concatenate([np.array(self.feed, np.int32), flat])
+            widths = np.stack([head, counts], axis=1)
+            total = widths.sum(axis=1)
+            rows[fresh] = np.arange(len(self.known), len(self.known) + len(fresh))
+            self.known = pa.concat_arrays([self.known, new])
+            self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(total) - total).astype(np.int32)])
+            self.count = np.concatenate([self.count, total.astype(np.int32)])
+            self.flat = np.concatenate([self.flat, source[_spread(widths.ravel(), np.stack([np.zeros_like(starts), starts + len(self.feed)], axis=1).ravel())]])
+        return rows
 
 
 @lru_cache(maxsize=2)
@@ -134,14 +129,20 @@ def _encode_regular(pieces: _Pieces, texts: pa.Array) -> tuple[np.ndarray, np.nd
     """
     lines = pc.binary_join_element_wise(pa.scalar("", texts.type), pc.replace_substring(texts, "\n", " \n"), pa.scalar("\n", texts.type))
     split = pc.split_pattern(lines, " ")
-    known = pc.dictionary_encode(split.values)
-    distinct = known.dictionary.to_pylist()
-    rows = np.fromiter(map(pieces.__getitem__, distinct), np.int64, len(distinct))
-    pieces.settle()
-    own = rows[known.indices.to_numpy(zero_copy_only=False)]
-    counts = pieces.count[own]
-    ids = pieces.flat[_spread(counts, pieces.start[own])]
-    ends = np.concatenate([[0], np.cumsum(counts)])[split.offsets.to_numpy()]
+    pieces_of = pc.dictionary_encode(split.values)
+    stems = pc.replace_substring_regex(pieces_of.dictionary, pieces.tail, r"\1")
+    cut = pc.not_equal(stems, pieces_of.dictionary).to_numpy(zero_copy_only=False)
+    known = pc.dictionary_encode(stems)
+    row = pieces.rows(known.dictionary)[known.indices.to_numpy(zero_copy_only=False)]
+    tail = np.full(len(row), -1, np.int32)
+    tail[cut] = [pieces.tails[p[-1]] for p in pieces_of.dictionary.filter(pa.array(cut)).to_pylist()]
+    own = pieces_of.indices.to_numpy(zero_copy_only=False)
+    counts = (pieces.count[row] + cut)[own]
+    ids = np.concatenate([pieces.flat, pieces.flat[:1]])[_spread(counts, pieces.start[row][own])]
+    ends = np.cumsum(counts)
+    behind = cut[own]
+    ids[ends[behind] - 1] = tail[own[behind]]
+    ends = np.concatenate([[0], ends])[split.offsets.to_numpy()]
     # the first id of a text's line feed makes room for END_ID, any further ones go
     extra = len(pieces.feed) - 1
     if extra:
@@ -160,8 +161,6 @@ def encode_texts(texts: pa.Array, tokenizer: str = TOKENIZER) -> Iterator[tuple[
     sizes = pc.binary_length(texts).to_numpy()
     part_of = (np.cumsum(sizes) - sizes) // SLICE
     for part in np.unique(part_of):
-        if len(pieces) >= REMEMBERED:
-            pieces.reset()
         first, last = np.searchsorted(part_of, [part, part + 1])
         own = texts.slice(first, last - first)
         regular = only_single_spaces(own)
