@@ -37,7 +37,7 @@ def bm25(query):
 def test_bm25_equals_a_full_scan(spark, chunks, query):
     hits = lexical.search_lexical(spark.createDataFrame([(1, query)], "query_id long, query string"), chunks, 50).collect()
     assert {r.document_id: r.score for r in hits} == bm25(query)
-    assert [r.document_id for r in sorted(hits, key=lambda r: r["rank"])] == [r.document_id for r in sorted(hits, key=lambda r: (-r.score, r.content_hash, r.document_id))]
+    assert [r.document_id for r in sorted(hits, key=lambda r: r["rank"])] == [r.document_id for r in sorted(hits, key=lambda r: (-r.score, r.content_key, r.document_id))]
 
 
 def test_bm25_edges(spark, chunks):
