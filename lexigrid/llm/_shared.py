@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,9 +24,12 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``, or a fresh folder where it is unset (local mode)."""
+    """The cluster's ``spark.checkpoint.dir``; a fresh folder where it is unset and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lexigrid-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -43,6 +47,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def located(df: DataFrame) -> DataFrame:
+    """Add where each row lies: ``_lx_file`` and ``_lx_at``, which no other row has, and ``_lx_part``, the number of the file its writer made.
+
+    ``df`` must read files; any other table is written first.
+    """
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        df = cut(df, "located")
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    return df.select("*", F.xxhash64("_metadata.file_path").alias("_lx_file"), F.col("_metadata.row_index").alias("_lx_at"), part.alias("_lx_part"))
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 bytes of a text, null as empty."""
     return F.coalesce(text, F.lit("")).cast("binary")
@@ -72,3 +89,17 @@ def gapless_index(df: DataFrame, group: Sequence[str], order: Sequence[str], nam
     starts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lx_n")).withColumn("_lx_start", F.coalesce(F.sum("_lx_n").over(before), F.lit(0))).drop("_lx_n")
     within = marked.withColumn("_lx_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return within.join(starts, keys).withColumn(name, F.col("_lx_start") + F.col("_lx_row") - 1).drop("_lx_bucket", "_lx_start", "_lx_row")
+
+
+def stored_index(df: DataFrame, group: Sequence[str], name: str, stretch: int = 65_536) -> DataFrame:
+    """Number the rows of each group 0, 1, 2, ... in the order in which ``located`` files hold them.
+
+    Stretches of a file are numbered by themselves; only their sizes (a narrow row a
+    group, file and stretch) meet in one window. ``df`` is read twice.
+    """
+    marked = df.withColumn("_lx_stretch", F.expr(f"_lx_at DIV {stretch}"))
+    keys = [*group, "_lx_part", "_lx_file", "_lx_stretch"]
+    before = Window.partitionBy(*group).orderBy("_lx_part", "_lx_file", "_lx_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_lx_n")).withColumn("_lx_start", F.coalesce(F.sum("_lx_n").over(before), F.lit(0))).drop("_lx_n")
+    within = marked.withColumn("_lx_row", F.row_number().over(Window.partitionBy(*keys).orderBy("_lx_at")))
+    return within.join(starts, keys).withColumn(name, F.col("_lx_start") + F.col("_lx_row") - 1).drop("_lx_stretch", "_lx_start", "_lx_row")

@@ -18,7 +18,7 @@ from math import ceil
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import cut, gapless_index, table, text_bytes
+from lexigrid.llm._shared import cut, gapless_index, located, stored_index, table, text_bytes
 
 #: Bins of one selection pass over all nodes of a level.
 BINS = 65_536
@@ -158,7 +158,7 @@ def kd_shards(points: DataFrame, n_leaves: int) -> DataFrame:
     return _with_params(spark, points, sorted(leaf_of.items()), "node, shard").withColumn("shard", F.col("shard").cast("int")).drop("node")
 
 
-def metadata_points(docs: DataFrame) -> DataFrame:
+def metadata_points(docs: DataFrame, *more: str) -> DataFrame:
     """One narrow row a document: what the tree needs, without the text. Nulls count as 0 or as an empty text."""
     raw = text_bytes(F.col("text"))
     crc = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"))
@@ -172,21 +172,26 @@ def metadata_points(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("dim_id"),
         F.xxhash64(raw).alias("tie_text"),
         F.xxhash64(F.col("doc_id"), F.lit(5)).alias("tie_id"),
+        *more,
     )
 
 
-def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, target_bytes: int | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, target_bytes: int | None = None, in_order: bool = False) -> DataFrame:
     """Shards of near-equal bytes for all documents, with a gapless slot in each shard.
 
-    With ``target_bytes`` the number of leaves follows from the total size. A null
-    text has size 1 and crc32 0; copies of a row are rows of their own; extra
-    columns are ignored; an empty table gives an empty result.
+    With ``target_bytes`` the number of leaves follows from the total size. With
+    ``in_order`` the slots of a shard follow the order in which the files of ``docs``
+    hold the rows. A null text has size 1 and crc32 0; a null id or source is a value
+    like any other; copies of a row are rows of their own; extra columns are ignored;
+    an empty table gives an empty result.
     """
-    points = cut(metadata_points(docs), "kd-points")
+    place = ["_lx_part", "_lx_file", "_lx_at"] if in_order else []
+    points = cut(metadata_points(located(docs) if in_order else docs, *place), "kd-points")
     if target_bytes:
         n_shards = max(1, ceil((points.agg(F.sum("size")).first()[0] or 0) / target_bytes))
-    placed = cut(kd_shards(points, n_shards).select("doc_id", "size", "text_crc32", "shard"), "kd-placed")
-    return gapless_index(placed, ["shard"], ["text_crc32", "doc_id"], "slot")
+    placed = cut(kd_shards(points, n_shards).select("doc_id", "size", "text_crc32", "shard", *place), "kd-placed")
+    numbered = stored_index(placed, ["shard"], "slot") if in_order else gapless_index(placed, ["shard"], ["text_crc32", "doc_id"], "slot")
+    return numbered.select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@
    have in common is never more than that, so no similar window is lost.
 2. Windows and items get 64-bit SimHash fingerprints of their words. The bits are
    cut into RADIUS + 1 blocks; two fingerprints at most RADIUS bits apart agree in
-   at least one, so an equi-join on (length, block, value) finds all such pairs.
+   at least one, so an equi-join on (item, block, value) finds all such pairs, each
+   at the first block in which it agrees.
 3. Weighted shingle similarity (weights: how often a shingle occurs; the sum of
    minima over the sum of maxima) verifies candidates exactly.
 
@@ -36,78 +37,108 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
-def shingles_of(words: Column) -> Column:
-    """Hashes of all shingles in order, repeats included."""
-    n = F.size(words)
-    whole = F.array(F.xxhash64(n, F.array_join(words, " ")))
-    each = F.transform(F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(*[F.get(words, i + k - 1) for k in range(SHINGLE)]))
+def hashes_of(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def shingles_of(hashes: Column) -> Column:
+    """Hashes of all shingles in order, repeats included, from the hashes of the words."""
+    n = F.size(hashes)
+    whole = F.array(F.xxhash64(n, hashes))
+    each = F.transform(F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))), lambda i: F.xxhash64(*[F.get(hashes, i + k - 1) for k in range(SHINGLE)]))
     return F.when(n == 0, F.array().cast("array<bigint>")).when(n < SHINGLE, whole).otherwise(each)
 
 
-def simhash(words: Column) -> Column:
+def counted_off(shingles: Column) -> Column:
+    """The n-th occurrence of a shingle as an element of its own: the sum of minima of two texts is what their sets share."""
+    in_order = lambda s: F.transform(s, lambda x, i: F.xxhash64(x, i - F.array_position(s, x)))
+    return F.transform(F.array(F.array_sort(shingles)), in_order)[0]
+
+
+def simhash(hashes: Column) -> Column:
     """Bit b is set if more than half of the words' hashes have it."""
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    votes = lambda b: F.size(F.filter(hashes, lambda h: F.call_function("shiftright", h, b).bitwiseAND(one) == one))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), none, lambda acc, b: acc.bitwiseOR(F.when(2 * votes(b) > F.size(hashes), F.call_function("shiftleft", one, b)).otherwise(none)))
 
-    def of(hashes: Column) -> Column:
-        votes = lambda b: F.size(F.filter(hashes, lambda h: F.call_function("shiftright", h, b).bitwiseAND(one) == one))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), none, lambda acc, b: acc.bitwiseOR(F.when(2 * votes(b) > F.size(hashes), F.call_function("shiftleft", one, b)).otherwise(none)))
 
-    # the array of one element keeps the hashes from being worked out for every bit
-    return F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), of)[0]
+def _block(print_: Column, k: int) -> Column:
+    at, width = BLOCKS[k]
+    return F.shiftright(print_, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
 def _blocks(print_: Column) -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftright(print_, at).bitwiseAND(F.lit((1 << width) - 1).cast("long")).alias("value")) for k, (at, width) in enumerate(BLOCKS)])
+    return F.array(*[F.struct(F.lit(k).alias("block"), _block(print_, k).alias("value")) for k in range(len(BLOCKS))])
 
 
-def _agreement(a: Column, b: Column) -> Column:
-    """The sum over shared shingles of the smaller number of occurrences."""
-    count = lambda xs, s: F.size(F.filter(xs, lambda x: x == s))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, s: n + F.least(count(a, s), count(b, s)))
+def _first_block(differing: Column) -> Column:
+    """The first block in which two fingerprints agree, from their XOR."""
+    return F.coalesce(*[F.when(_block(differing, k) == 0, F.lit(k)) for k in range(len(BLOCKS))])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, item_id, window_start, window_words, hamming, similarity): each pair with its most similar window.
 
-    Null and empty texts match nothing; repeated rows give one pair; extra columns
-    are ignored; empty tables give an empty result.
+    Null and empty texts match nothing; rows that repeat an id give one pair; a row
+    without an id is a document of its own text, and its pairs have a null id; items
+    without an id are left out; extra columns are ignored; empty tables give an empty result.
     """
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0)
-    items = cut(items.select("item_id", F.size("words").alias("n_words"), simhash(F.col("words")).alias("item_print"), shingles_of(F.col("words")).alias("item_shingles")), "items")
+    found = _leaks(_named(docs), benchmark, percent)
+    return found.select(F.when(F.col("anon") == 0, F.col("doc")).alias("doc_id"), "item_id", "window_start", "window_words", "hamming", "similarity")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc, anon, text): the id, and for rows without one a number made from their text."""
+    return docs.select(F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("doc"), F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("anon"), "text")
+
+
+def _leaks(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
+    key = ["doc", "anon"]
+    items = benchmark.filter("item_id IS NOT NULL").select("item_id", hashes_of(words_of(F.col("text"))).alias("hashes")).filter(F.size("hashes") > 0)
+    items = cut(items.select("item_id", F.size("hashes").alias("n_words"), simhash(F.col("hashes")).alias("item_print"), shingles_of(F.col("hashes")).alias("item_shingles")), "items")
     spots = items.select("item_id", "n_words", F.size("item_shingles").alias("item_size"), F.explode(F.array_distinct("item_shingles")).alias("shingle"))
 
-    hashed = docs.select("doc_id", words_of(F.col("text")).alias("words")).select("doc_id", F.size("words").alias("length"), F.posexplode(shingles_of(F.col("words"))).alias("at", "shingle"))
+    hashed = docs.select(*key, hashes_of(words_of(F.col("text"))).alias("hashes")).select(*key, F.size("hashes").alias("length"), F.posexplode(shingles_of(F.col("hashes"))).alias("at", "shingle"))
     sized = join_small(hashed, spots, ["shingle"]).withColumn("size", F.greatest(F.lit(1), F.least("n_words", "length") - SHINGLE + 1))
     # a pair at the threshold shares n: 100 * n >= percent * (size + item_size - n)
     hits = cut(sized.withColumn("needs", percent * (F.col("size") + F.col("item_size"))), "hits")
     enough = F.col("n") * (100 + percent) >= F.col("needs")
-    many = hits.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("needs")).filter(enough).select("doc_id", "item_id")
+    many = hits.groupBy(*key, "item_id").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("needs")).filter(enough).select(*key, "item_id")
     around = F.sequence(F.greatest(F.lit(0), F.col("at") - F.col("size") + 1), F.greatest(F.lit(0), F.least(F.col("at"), F.col("length") - F.col("n_words"))))
-    spans = join_small(hits, many, ["doc_id", "item_id"], "left_semi").select("doc_id", "item_id", "n_words", "needs", F.explode(around).alias("start"))
-    counted = spans.groupBy("doc_id", "item_id", "n_words", "needs", "start").agg(F.count(F.lit(1)).alias("n"))
-    windows = cut(counted.filter(enough).select("doc_id", "n_words", "start").distinct(), "windows")
-
-    ids = windows.select("doc_id").distinct()
-    texts = join_small(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi").select("doc_id", words_of(F.col("text")).alias("words"))
-    sliced = windows.join(texts, "doc_id").select("doc_id", "n_words", "start", F.slice("words", F.col("start") + 1, F.col("n_words")).alias("words"))
-    prints = cut(sliced.select("doc_id", "n_words", "start", simhash(F.col("words")).alias("print"), shingles_of(F.col("words")).alias("shingles")), "prints")
-
-    window_blocks = prints.select("doc_id", "n_words", "start", "print", F.inline(_blocks(F.col("print"))))
-    item_blocks = items.select("item_id", "n_words", "item_print", F.inline(_blocks(F.col("item_print"))))
-    near = join_small(window_blocks, item_blocks, ["n_words", "block", "value"]).withColumn("hamming", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))).filter(F.col("hamming") <= RADIUS)
-    candidates = near.select("doc_id", "n_words", "start", "item_id", "hamming").distinct()
-
-    verified = join_small(candidates.join(prints, ["doc_id", "n_words", "start"]), items.select("item_id", "item_shingles", F.col("n_words").alias("item_words")), ["item_id"]).filter("item_words = n_words")
-    both = _agreement(F.col("shingles"), F.col("item_shingles"))
-    scored = verified.withColumn("both", both).withColumn("either", F.size("shingles") + F.size("item_shingles") - F.col("both")).filter(F.col("both") * 100 >= percent * F.col("either"))
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("both") / F.col("either")).alias("similarity"), (-F.col("start")).alias("back"), "n_words", "hamming")).alias("b"))
-    return best.select("doc_id", "item_id", (-F.col("b.back")).alias("window_start"), F.col("b.n_words").alias("window_words"), F.col("b.hamming").cast("int").alias("hamming"), "b.similarity")
+    spans = join_small(hits, many, [*key, "item_id"], "left_semi").select(*key, "item_id", "n_words", "needs", F.explode(around).alias("start"))
+    counted = spans.groupBy(*key, "item_id", "n_words", "needs", "start").agg(F.count(F.lit(1)).alias("n"))
+    wanted = cut(counted.filter(enough).select(*key, "item_id", "n_words", "start").distinct(), "windows")
+
+    windows = wanted.select(*key, "n_words", "start").distinct()
+    ids = windows.select(*key).distinct()
+    texts = join_small(docs, ids, key, "left_semi").select(*key, hashes_of(words_of(F.col("text"))).alias("hashes"))
+    sliced = windows.join(texts, key).select(*key, "n_words", "start", F.slice("hashes", F.col("start") + 1, F.col("n_words")).alias("hashes"))
+    prints = cut(sliced.select(*key, "n_words", "start", simhash(F.col("hashes")).alias("print"), counted_off(shingles_of(F.col("hashes"))).alias("shingles")), "prints")
+
+    place = [*key, "n_words", "start"]
+    window_blocks = wanted.join(prints.select(*place, "print"), place).select(*place, "item_id", "print", F.inline(_blocks(F.col("print"))))
+    item_blocks = items.select("item_id", "item_print", F.inline(_blocks(F.col("item_print"))))
+    differing = F.col("print").bitwiseXOR(F.col("item_print"))
+    near = join_small(window_blocks, item_blocks, ["item_id", "block", "value"]).filter(F.col("block") == _first_block(differing))
+    candidates = near.select(*place, "item_id", "print", F.bit_count(differing).alias("hamming")).filter(F.col("hamming") <= RADIUS)
+
+    known = items.select("item_id", counted_off(F.col("item_shingles")).alias("item_shingles"))
+    verified = join_small(candidates.join(prints, [*place, "print"]), known, ["item_id"])
+    scored = verified.withColumn("both", F.size(F.array_intersect("shingles", "item_shingles")))
+    scored = scored.withColumn("either", F.size("shingles") + F.size("item_shingles") - F.col("both")).filter(F.col("both") * 100 >= percent * F.col("either"))
+    best = scored.groupBy(*key, "item_id").agg(F.max(F.struct((F.col("both") / F.col("either")).alias("similarity"), (-F.col("start")).alias("back"), "n_words", "hamming")).alias("b"))
+    return best.select(*key, "item_id", (-F.col("b.back")).alias("window_start"), F.col("b.n_words").alias("window_words"), F.col("b.hamming").cast("int").alias("hamming"), "b.similarity")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a benchmark passage, with the columns they came with."""
-    ids = cut(leaks(docs, benchmark).select("doc_id").distinct(), "leaking")
-    return join_small(docs, ids, ["doc_id"], "left_anti")
+    """The rows of ``docs`` without a benchmark passage, with the columns they came with.
+
+    Rows that repeat an id go together if one of them holds a passage; a row without an
+    id goes if its own text holds one.
+    """
+    ids = cut(_leaks(_named(docs), benchmark, PERCENT).select(F.col("doc").alias("_lx_doc"), F.col("anon").alias("_lx_anon")).distinct(), "leaking")
+    named = docs.withColumn("_lx_doc", F.coalesce(F.col("doc_id"), F.lit(0)).cast("long")).withColumn("_lx_anon", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0)))
+    return join_small(named, ids, ["_lx_doc", "_lx_anon"], "left_anti").select(*docs.columns)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,33 @@ def test_passages_with_moved_parts(spark):
     assert got[1, 1].window_start == 40 and got[1, 1].hamming == 0 and got[1, 1].similarity == 51 / 59
 
 
+def test_the_radius_loses_no_similar_window(spark):
+    """Recall, measured: passages with edits up to the threshold, against a search without fingerprints."""
+    r = random.Random(11)
+    items, docs = {}, {}
+    for i in range(60):
+        items[i] = [f"v{int(r.random() ** 2 * 400)}" for _ in range(r.choice([20, 45, 90, 150]))]
+        for k in range(4):
+            own, run = list(items[i]), max(1, len(items[i]) // 18)
+            at = r.randrange(len(own) - run)
+            own[at : at + run] = [f"z{r.randrange(9)}" for _ in range(run)]
+            docs[i * 4 + k] = " ".join([f"f{r.randrange(99)}" for _ in range(12)] + own + [f"g{r.randrange(99)}" for _ in range(12)])
+    texts = {i: " ".join(w) for i, w in items.items()}
+    own = {i: {d: t for d, t in docs.items() if d // 4 == i} for i in items}
+    want = {pair for i in items for pair in leaks(own[i], {i: texts[i]}, 80)}
+    got = simhash_leaks.leaks(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(texts.items()), "item_id long, text string")).collect()
+    assert len(want) > 60 and {(x.doc_id, x.item_id) for x in got} == want
+    assert max(x.hamming for x in got) <= simhash_leaks.RADIUS - 4, "the radius has room"
+
+
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    passage = " ".join(f"q{i}" for i in range(30))
+    docs = spark.createDataFrame([(None, passage), (None, "something clean that nobody asks about"), (0, "another clean text of a document"), (5, passage), (5, "clean copy of that id")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage), (None, "another clean text of a document")], "item_id long, text string")
+    assert sorted((r.doc_id is None, r.item_id) for r in simhash_leaks.leaks(docs, bench).collect()) == [(False, 1), (True, 1)]
+    assert {r.text for r in simhash_leaks.drop_leaks(docs, bench).collect()} == {"something clean that nobody asks about", "another clean text of a document"}
+
+
 def test_leaks_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, "same text for all of these rows, twelve words long in fact yes", "x"), (2, None, "x")], "item_id long, text string, doc_id string")
     got = simhash_leaks.leaks(odd, bench).collect()
