@@ -94,10 +94,11 @@ def test_slots_of_a_shard_follow_the_schedule(spark, tmp_path):
     docs = spark.range(3000).selectExpr("id AS doc_id", "concat('h', id * id % 7) AS source", "repeat('x', CAST(id % 40 AS INT)) AS text", "'en' AS lang").cache()
     pfair_mixing.in_mixed_order(docs).write.parquet(str(tmp_path / "mixed"))
     mixed = spark.read.parquet(str(tmp_path / "mixed"))
-    here = mixed.selectExpr("doc_id", "_metadata.file_name AS f", "_metadata.row_index AS n").toPandas().sort_values(["f", "n"])
-    slots = {r.doc_id: r.slot for r in pfair_mixing.mix_documents(docs).collect()}
-    order = [slots[d] for d in here.doc_id]
-    assert len(order) == 3000 and order == sorted(order)
+    here = mixed.selectExpr("doc_id", "source", "_metadata.file_name AS f", "_metadata.row_index AS n").toPandas().sort_values(["f", "n"])
+    counts, size = Counter(here.source), pfair_mixing.BLOCK_ROWS
+    blocks = {k: -(-n // size) for k, n in counts.items()}
+    order = simulate(blocks, {k: n**pfair_mixing.SMOOTHING for k, n in counts.items()}, pfair_mixing.PERIOD)
+    assert list(here.source) == [k for k, b in order for _ in range(min(size, counts[k] - b * size))]
     place = {d: n for n, d in enumerate(here.doc_id)}
     rows = kd_sharding.shard_documents(mixed, 4, in_order=True).collect()
     for shard in range(4):

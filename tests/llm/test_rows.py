@@ -191,12 +191,80 @@ def test_whole_names_are_replaced(spark):
         assert got[i].n_entities == 1 and got[i].text.endswith(", who left") and not any(p in got[i].text for p in parts), n
 
 
+def mod97(iban):
+    turned = re.sub(r"[^A-Z0-9]", "", iban)
+    return int("".join(str(int(c, 36)) for c in turned[4:] + turned[:4])) % 97
+
+
+def test_generated_entities(spark):
+    """Against what must hold for any of them: format, distinctness, and one surrogate for all spellings in all documents."""
+    r = random.Random(8)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    shape = lambda x: re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", x)))
+    entities = {}
+    for _ in range(120):
+        local, host = "".join(r.choice("abcxyz") for _ in range(r.randint(1, 5))), r.choice(["h.com", "mail.example.org", "x-y.co.uk"])
+        entities[f"{local}@{host}"] = [f"{local}@{host}", f"{local.upper()}@{host}"]
+        a, b, c = digits(3), digits(3), digits(4)
+        entities[f"p{a}{b}{c}"] = [f"({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}.{c}"]
+        n = digits(9)
+        entities[f"g{n}"] = [f"+49 {n[:3]} {n[3:]}", f"+49 {n[:3]} {n[3:6]} {n[6:]}"]
+        body = "".join(r.choice("ABCD0123456789") for _ in range(18))
+        check = 98 - int("".join(str(int(x, 36)) for x in body + "DE00")) % 97
+        iban = f"DE{check:02d}{body}" if r.random() < 0.7 else f"DE{check % 97 + 1:02d}{body}"
+        entities[iban] = [iban, " ".join(iban[i : i + 4] for i in range(0, 22, 4))]
+        ssn = f"{digits(3)}-{digits(2)}-{digits(4)}"
+        entities[ssn] = [ssn]
+    mentions = [(key, m) for key, spelled in entities.items() for m in spelled] * 2
+    r.shuffle(mentions)
+    rows = [(i, f"see {m} ok") for i, (_, m) in enumerate(mentions)]
+    out = {x.doc_id: x for x in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    drawn, originals = {}, {re.sub(r"[^a-z0-9]", "", m.lower()) for _, m in mentions}
+    domains = {}
+    for i, (key, m) in enumerate(mentions):
+        assert out[i].n_entities == 1, m
+        got = re.fullmatch(r"see (.*) ok", out[i].text)[1]
+        plain = re.sub(r"[^a-z0-9]", "", got.lower())
+        if "@" in m:
+            assert shape(got.split("@")[1].rsplit(".", 1)[0]) == shape(m.split("@")[1].rsplit(".", 1)[0]) and got.rsplit(".", 1)[1] == m.rsplit(".", 1)[1]
+            assert domains.setdefault(m.split("@")[1], got.split("@")[1].lower()) == got.split("@")[1].lower()
+        else:
+            assert shape(got) == shape(m)
+            plain = plain[-10:] if key[0] == "p" else plain
+        if key.startswith("DE"):
+            assert got[:2] == "DE" and (mod97(got) - mod97(m)) % 97 == 0, m
+        assert drawn.setdefault(key, plain) == plain and plain not in originals, m
+    assert len(set(drawn.values())) == len(entities)
+
+
+def test_one_person_has_one_name(spark):
+    rows = [
+        (1, "Mrs Jane Doe came. Jane Doe left; Doe's coat stayed. Dr Jane Doe wrote, Mrs Doe too. Doelike words stay."), (2, "Dr Jane Doe again"), (3, "Jane Doe without a title"), (4, "Dr Kim Roe here"),
+        (5, "Mr Pat Poe and Mrs Pat Poe"), (None, "Dr Jane Doe, no id"),
+    ]
+    got = {r.doc_id: r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
+    m = re.fullmatch(r"Mrs (\w+) (\w+) came\. (\w+) (\w+) left; (\w+)'s coat stayed\. Dr (\w+) (\w+) wrote, Mrs (\w+) too\. Doelike words stay\.", got[1])
+    given, family = m[1], m[2]
+    assert (m[3], m[4], m[5], m[6], m[7], m[8]) == (given, family, family, given, family, family) and given in surrogates.GIVEN["latin_f"] and "Jane" not in got[1]
+    assert got[2] == f"Dr {given} {family} again" and got[None] == f"Dr {given} {family}, no id" and got[3] == rows[2][1]
+    assert re.match(r"Dr (\w+) ", got[4])[1] in surrogates.GIVEN["latin_n"]
+    a, b = re.fullmatch(r"Mr (.*) and Mrs (.*)", got[5]).groups()
+    assert a == b and a.split()[0] in surrogates.GIVEN["latin_n"]
+
+
+def test_names_do_not_run_out(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "SYLLABLES", {k: v[:1] for k, v in surrogates.SYLLABLES.items()})  # one family name a length
+    rows = [(i, f"Mr N{'abcdefgh'[i]}me") for i in range(8)]
+    got = [r.text for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert len(set(got)) == 8
+
+
 def test_surrogates_stay_distinct(spark, monkeypatch):
     """With a tiny space of surrogates many collide; all entities must still differ, and mentions of one agree."""
-    values = [f"{a}-{b}" for a in ("11 11", "22 11", "33 11") for b in ()] or [f"({n:02d}) {n:03d} {n:03d}" for n in range(60)]
+    values = [f"({n:02d}) {n:03d} {n:03d}" for n in range(60)]
     rows = [(i, f"tel {v} and {values[(i * 7) % 60]} end") for i, v in enumerate(values)]
-    draw = surrogates._digest
-    monkeypatch.setattr(surrogates, "_digest", lambda key, kind, what, attempt: draw(key, kind, surrogates.F.pmod(surrogates.F.xxhash64(what), surrogates.F.lit(25)).cast("string"), attempt))
+    draw = surrogates._hex
+    monkeypatch.setattr(surrogates, "_hex", lambda key, kind, what, attempt: draw(key, kind, surrogates.F.pmod(surrogates.F.xxhash64(what), surrogates.F.lit(25)).cast("string"), attempt))
     got = {r.doc_id: re.findall(r"\(\d\d\) \d{3} \d{3}", r.text) for r in surrogates.replace_entities(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()}
     drawn = {}
     for i, (x, y) in got.items():
