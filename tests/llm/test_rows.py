@@ -152,7 +152,70 @@ def test_main_text_of_pages(spark):
     assert by[20] == "Only a paragraph of its own kind." and by[21] == by[22] == "" and by[23] == "" or by[23] == "plain words"
     assert all(r.n_chars == len(r.text) for r in got)
     assert host_paths.extract(df.limit(0)).collect() == []
-    assert [r.paths for r in host_paths.winning_paths(df.filter("page_id < 9")).collect()] == [["html/body/div.content"]]
+    assert [r.paths for r in host_paths.winning_paths(df.filter("page_id < 9")).collect()] == [[host_paths.number("html/body/div.content")]]
+
+
+def text_of(body, head=""):
+    return host_paths.read_page(f"<html><head>{head}</head><body>{body}</body></html>").text(set())
+
+
+def test_what_is_left_out_and_what_is_not():
+    words = "Many words of a paragraph that is long enough to be read. "
+    article = f"<h1>Title</h1><p>{words}</p><p>Second.</p>"
+    want = f"Title\n\n{words.strip()}\n\nSecond."
+    for around in ("no-sidebar", "has-comments", "with-nav", "no-ads", "layout-sidebar", "sidebar", "side-by-side", "header-wrap", "additional", "admin", "comment-free-zone-of-mine-here"):
+        assert text_of(f'<div class="{around}"><article>{article}</article></div>') == want, around
+    for around in ("no-sidebar", "has-comments", "article-body", "side-by-side"):
+        assert text_of(f'<div class="{around}">{article}</div>') == want, around
+    for junk in (
+        '<p class="advert">Buy this now', '<p class="advert">Buy</p>', '<div class="top-ads"><p>Buy</p></div>', '<div id=sidebar><ul><li>x</ul></div>', '<ul><li class="comment">I say<li class="comment">No</ul>',
+        '<span class="share">Share it</span>', '<ol class="comments-list"><li><article class="comment"><p>Reader words</p></article></ol>', '<div hidden>no</div>', '<p style="display: none">no</p>', '<div role="navigation">no</div>',
+        '<aside>no</aside>', '<form><p>no</p></form>', '<footer>no</footer>', '<nav><p>no</nav>', '<script>var a = "<p>no</p>"</script>', '<style>p{}</style>', '<!-- <p>no</p> -->', '<div class="cookie-banner">no <b>never</b></div>', '<section class="newsletter"><p>no</p></section>',
+        '<span class="share"><span>in</span>side</span>', '<img class="ad" src=x>', '<noscript>no</noscript>', '<button>no</button>',
+    ):
+        for body in (f"<article>{article}{junk}</article>", f"<div>{junk}{article}</div>", f"{junk}<main>{article}</main>"):
+            if junk.startswith("<p") and "</p>" not in junk:
+                body = body.replace("</article>", "<p></article>")
+            assert text_of(body) == want, body
+    inline = text_of(f"<article><h1>T</h1><p>{words}with <span class=share>Share</span>more &amp; &eacute; <b>bold</b><br>line</p></article>")
+    assert inline == f"T\n\n{words}with more & é bold line"
+
+
+def test_nothing_of_an_article_is_dropped():
+    """Pages that are put together from parts whose text is known."""
+    r = random.Random(12)
+    word = lambda n: " ".join(r.choice("lorem ipsum dolor sit amet elit magna".split()) for _ in range(n))
+
+    def part(kind):
+        own = [word(r.randint(3, 40)) for _ in range(r.randint(1, 4))]
+        tags = {"p": "p", "list": "li", "quote": "p", "section": "p", "table": "td", "figure": "figcaption", "div": "p"}[kind]
+        body = "".join(f"<{tags}>{x}</{tags}>" for x in own)
+        around = {"p": "{}", "list": "<ul>{}</ul>", "quote": "<blockquote>{}</blockquote>", "section": "<section>{}</section>", "table": "<table><tr>{}</tr></table>", "figure": "<figure>{}</figure>", "div": "<div>{}</div>"}[kind]
+        return around.format(body), own
+
+    for _ in range(300):
+        title, parts = word(4), [part(r.choice(["p", "p", "list", "quote", "section", "table", "figure", "div"])) for _ in range(r.randint(1, 6))]
+        body = f"<h1>{title}</h1>" + "".join(h for h, _ in parts)
+        want = "\n\n".join([title, *(x for _, own in parts for x in own)])
+        page = f"<nav><ul><li><a href=/>{word(30)}</a></ul></nav><div class=ad>{word(9)}</div><article>{body}</article><aside><p>{word(50)}</p></aside><footer>{word(20)}</footer>"
+        assert text_of(page) == want
+        plain = [part("p") for _ in range(3)]
+        lead = "\n\n".join([title, *(x for _, own in plain for x in own)])
+        assert text_of(f"<nav>{word(9)}</nav><div class=story><h1>{title}</h1><div class=body>" + "".join(h for h, _ in plain) + f"</div></div><div class=sidebar>{word(60)}</div>") == lead
+
+
+def test_hosts_vote(spark):
+    long_, short = "word " * 60, "word " * 5
+    page = lambda story, extra: f"<body><div class='story'><p>{story}</p></div><div class='blurb'><p>{extra}</p></div></body>"
+    rows = [(i, f"http://h.org/{i}", page(long_, short)) for i in range(19)] + [(19, "http://h.org/x", page(short, long_))]
+    rows += [(30 + i, f"http://two.org/{i}", f"<body><div class='{'ab'[i % 2]}'><p>{long_}</p></div><div class='c'><p>{short}</p></div></body>") for i in range(4)]
+    deep = "<div class='abcdefghij'>" * 80
+    rows += [(40 + i, f"http://deep.org/{i}", f"<body>{deep}<p>{long_}</p></body>") for i in range(3)] + [(50, None, page(long_, short)), (51, "http://h.org/none", "<p>alone</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in host_paths.extract(df).collect()}
+    assert all(got[i] == long_.strip() for i in (*range(19), 30, 31, 32, 33, 40, 41, 42, 50)) and got[51] == "alone"
+    assert got[19] == short.strip(), "the host's path beats the page's own vote"
+    assert {r.host: len(r.paths) for r in host_paths.winning_paths(df).collect()} == {"h.org": 1, "two.org": 2, "deep.org": 1, "": 1}
 
 
 def luhn(x):
