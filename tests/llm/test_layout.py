@@ -153,7 +153,7 @@ def test_sharding_odd_rows(odd, empty):
 def test_pipeline_equals_brute_force(spark, sf, texts):
     docs = table(spark, sf, "documents")
     rows = docs.select("doc_id", "text", "lang").collect()
-    rules = fertility_rules.measure([r.text for r in rows], [r.lang for r in rows])
+    rules = fertility_rules.measure([r.text for r in rows], [r.lang for r in rows], fertility_rules.fit_bands(docs, table(spark, sf, "labels")))
     fluent = {r.doc_id: r.text for r, k in zip(rows, rules["kept"], strict=True) if k}
     single = {d: t for d, t in fluent.items() if groups(fluent, 5, 80)[d][1] == d} if len(fluent) < 50 else None
     if single is None:

@@ -37,17 +37,68 @@ def test_base_counts_equal_brute_force(texts):
     assert (got["base_failed"] == ((n < 10) | (100 * repeats > 20 * n))).all() and not (got["kept"] & got["base_failed"]).any()
 
 
-def test_fertility_by_script():
-    texts = ["The quick brown fox jumps over the lazy dog near the old river bank today and then sleeps under trees until morning light comes back. " * 2, "zxqv " * 2 + "꧁꧂ꙮ꙰ꙁ " * 60]
-    texts[0] = "The history of the town began when settlers built a mill near the river and opened a market for farmers from nearby villages."
-    got = fertility_rules.measure(texts, ["en", None])
-    assert got["kept"].tolist() == [True, False] and got["byte_share"][1] > got["byte_share"][0]
+def test_measures_equal_brute_force(texts):
+    import base64
+
+    import sentencepiece
+    import tiktoken
+
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    bytes_ = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    made = [*list(texts.values())[:60], "꧁꧂ꙮ 日本語 🙂🙂 naïve", "", None, "one", " lead and trail \n", "a\x0bb\x0cc\u00a0d"]
+    got = fertility_rules.measure(made, [None] * len(made))
+    for t, row in zip(made, got.itertuples(), strict=True):
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        a, b = [i for w in words for i in pieces.encode(w)], [i for w in words for i in bytes_.encode_ordinary(w)]
+        broken = sum("\ufffd" in bytes_.decode_single_token_bytes(i).decode("utf-8", "replace") for i in b)
+        chars, n = sum(map(len, words)), len(a)
+        p = np.array(list(Counter(a).values())) / max(1, n)
+        entropy = 1.0 if n < 2 else float(-(p * np.log2(p)).sum() / np.log2(n))
+        want = (n, chars / max(1, n), sum(map(pieces.is_byte, a)) / max(1, n), chars / max(1, len(b)), broken / max(1, len(b)), entropy)
+        assert (row.n_tokens, row.chars_per_token, row.byte_share, row.chars_per_token_2, row.byte_share_2, row.entropy_share) == pytest.approx(want, abs=1e-9)
+
+
+def test_each_measure_rejects(spark):
+    """Bands that are fitted on good rows reject what lies outside in one measure alone."""
+    r = random.Random(6)
+    vocabulary = "the history of town began when settlers built mill near river and opened market for farmers from nearby villages who came every week with grain wool cheese".split()
+    good = [" ".join(r.choice(vocabulary) for _ in range(r.randint(20, 200))) for _ in range(120)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good)], "doc_id long, text string, lang string")
+    bands = fertility_rules.fit_bands(docs, spark.createDataFrame([(i, 1) for i in range(120)], "doc_id long, quality int"))
+    assert set(bands) == {"en"} and fertility_rules.measure(good, ["en"] * 120, bands)["kept"].all()
+    fresh = [" ".join(r.choice(vocabulary) for _ in range(60)) for _ in range(50)]
+    assert fertility_rules.measure(fresh, ["en"] * 50, bands)["kept"].mean() > 0.9
+    digits = [" ".join("".join(r.choice("0123456789abcdef") for _ in range(24)) for _ in range(40)), " ".join(r.choice(vocabulary) + "&%$#" for _ in range(60))]
+    other = [" ".join("".join(chr(r.randrange(0xA9A0, 0xA9C0)) for _ in range(4)) for _ in range(40))]
+    dull = [" ".join(w for _ in range(30) for w in r.sample(["the", "of", "and"], 3))]
+    got = fertility_rules.measure(digits + other + dull, ["en"] * 4, bands)
+    assert not got["kept"].any()
+    lo, hi, most, *_ = bands["en"][1][-1]
+    assert (got["chars_per_token"][:2] < lo).all() and got["byte_share"][2] > most and got["entropy_share"][3] < bands["en"][1][-1][6]
+    assert fertility_rules.fit_bands(docs, spark.createDataFrame([], "doc_id long, quality int")) == {}
+    wide = fertility_rules.measure([fresh[0], other[0], "ещё один текст о городе у реки, где каждую неделю торгуют зерном и сыром"], [None, None, "ru"], bands)
+    assert wide["kept"].tolist() == [True, False, True] and wide["band"].tolist() == ["latin", "*", "cyrillic"]
+
+
+def test_fitted_bands_on_held_out_labels(spark):
+    """Bands from one half of the labelled rows, measured on the other half."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    bands = fertility_rules.fit_bands(docs, labels.filter("doc_id % 2 = 0"))
+    rows = docs.join(labels.filter("doc_id % 2 = 1"), "doc_id").select("text", "lang", "quality").toPandas()
+    got = fertility_rules.measure(rows["text"].tolist(), rows["lang"].tolist(), bands)
+    passing = ~got["base_failed"]
+    good, bad = (rows["quality"] == 1) & passing, (rows["quality"] == 0) & passing
+    assert got["kept"][good].mean() > 0.95 and got["kept"][bad].mean() < 0.75, (got["kept"][good].mean(), got["kept"][bad].mean())
 
 
 def test_rules_in_spark(spark, odd, empty):
-    kept = fertility_rules.keep_fluent(odd)
-    assert kept.columns == odd.columns and set(kept.toPandas()["doc_id"].dropna().astype(int)) >= {5, 6, 10, 20}
-    assert fertility_rules.keep_fluent(empty).collect() == []
+    labels = odd.selectExpr("doc_id", "1 AS quality")
+    for kept in (fertility_rules.keep_fluent(odd), fertility_rules.keep_fluent(odd, labels)):
+        assert kept.columns == odd.columns and set(kept.toPandas()["doc_id"].dropna().astype(int)) >= {5, 6, 10, 20}
+    assert fertility_rules.keep_fluent(empty).collect() == [] and fertility_rules.keep_fluent(empty, labels).collect() == []
 
 
 def test_ledger_equals_the_plain_contract(spark, odd, empty):
@@ -116,24 +167,58 @@ def test_language_models(spark, sf, odd, empty):
     assert {r.lang_pred for r in kn_langid.predict(odd, None).collect()} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    codes, counts = np.unique(kn_langid.gram_codes(["abra cadabra", "ein Haus am See"])[0], return_counts=True)
-    model = kn_langid.kneser_ney({"x": (codes, counts)})
-    letters = np.unique(codes & np.uint64(0xFFFF))
-    for context in np.unique(codes >> np.uint64(16))[:10]:
-        p = 0.0
-        for c in letters:
-            code, log = (context << np.uint64(16)) | c, 0.0
-            for n in range(4, 0, -1):
-                part = np.array([code & kn_langid._LOW[n] if n < 4 else code])
-                at = model.grams[n - 1].find(part)[0]
-                if at >= 0:
-                    log += model.grams[n - 1].rows[at, 0]
-                    break
-                held = model.backoff[n - 1].find(part >> np.uint64(16))[0]
-                log += model.backoff[n - 1].rows[held, 0] if held >= 0 else 0.0
-            p += np.exp(log)
-        assert 0.9 < p <= 1.001  # the rest is the share of characters that were never seen
+def plain_kneser_ney(texts):
+    """Probabilities by the textbook: grams as strings, no arrays, no hashes."""
+    clean = [re.sub(r"[^\W\d_]+|.", lambda m: m[0] if m[0].isalpha() else " ", t.lower(), flags=re.S) for t in texts]
+    grams = {4: Counter(x[i : i + 4] for t in clean for x in ["   " + re.sub(" +", " ", t).strip() + " "] for i in range(len(x) - 3))}
+    for n in (3, 2, 1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
+    totals, kinds = ({n: Counter() for n in grams} for _ in range(2))
+    for n, own in grams.items():
+        for g, c in own.items():
+            totals[n][g[:-1]] += c
+            kinds[n][g[:-1]] += 1
+
+    def p(g, floor):
+        n = len(g)
+        if not n:
+            return floor
+        lower = p(g[1:], floor)
+        if not totals[n][g[:-1]]:
+            return lower
+        once, twice = (sum(c == k for c in grams[n].values()) for k in (1, 2))
+        d = kn_langid.discount_of(once, twice)
+        return (max(grams[n][g] - d, 0) + d * kinds[n][g[:-1]] * lower) / totals[n][g[:-1]]
+
+    return p, set(grams[1])
+
+
+def test_kneser_ney_equals_the_textbook(spark, monkeypatch):
+    taught = {"x": ["abra cadabra, abracadabra!", "a bar a car"], "y": ["ein Haus am See", "das Haus der Maus ist aus"], "z": ["हिन्दी भाषा", "한국어 말"]}
+    rows = [(g, int(c), int(n)) for g, texts in taught.items() for c, n in zip(*(x.tolist() for x in np.unique(kn_langid.gram_codes(texts)[0].view(np.int64), return_counts=True)), strict=True)]
+    orders = kn_langid._orders(spark.createDataFrame(rows, "lang string, code long, n long"))
+    model = kn_langid.kneser_ney(kn_langid._collected(orders))
+    plain = {g: plain_kneser_ney([re.sub(r"[^\w ]", " ", t) if g != "z" else t for t in texts]) for g, texts in taught.items() if g != "z"}
+    asked = ["abra haus", "der cadillac", "qqq", "see bar"]
+    entropy, counts = model.cross_entropy(asked)
+    floor = np.exp(model.floor)
+    for i, t in enumerate(asked):
+        x = "   " + t + " "
+        assert counts[i] == len(x) - 3
+        for k, g in enumerate(model.languages[:2]):
+            want = -np.mean([np.log(plain[g][0](x[j : j + 4], floor)) for j in range(len(x) - 3)])
+            assert entropy[i, k] == pytest.approx(want, rel=1e-5)
+    assert model.predict(["भाषा", "한국", "das Haus", "abra", "123", None, "🙂"])["lang_pred"].tolist() == ["z", "z", "y", "x", "und", "und", "und"]
+    assert len(kn_langid.gram_codes(["हिन्दी"])[0]) == 7, "marks belong to their letters"
+    p = plain["x"][0]
+    for context in ("abr", "a b", "   "):
+        assert 0.9 < sum(p(context + c, floor) for c in plain["x"][1]) <= 1.0001  # the rest is the share of characters that were never seen
+    # a model that is too small for all grams still takes its discounts, totals and continuation counts from all of them
+    monkeypatch.setattr(kn_langid, "MODEL_GRAMS", len(rows) + 60)
+    small = kn_langid._collected(orders)
+    whole = {n: kn_langid._orders(spark.createDataFrame(rows, "lang string, code long, n long"))[n].count() for n in (3, 4)}
+    assert sum(len(c[4].codes) for c in small.values()) < whole[4]
+    assert kn_langid.kneser_ney(small).predict(["das Haus", "abra cadabra"])["lang_pred"].tolist() == ["y", "x"]
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><header><p>Site name and a claim</p></header><nav><ul><li><a href=/>Home</a></ul></nav>
