@@ -20,7 +20,7 @@ from lexigrid.llm._shared import cut, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text passes the base rules and the bands of its language. A null or empty text fails; rows that repeat an id are judged each."""
-    return fertility_rules.keep_fluent(docs)
+    return fertility_rules.keep_fluent(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
