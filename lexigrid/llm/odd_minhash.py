@@ -7,10 +7,14 @@
 2. Equal sets form classes; one representative of each goes on.
 3. Each band bucket links its members to its smallest member, its head, only. The
    components of these links are *families*: two texts that share any bucket are in one family.
-4. Families are compared in blocks of at most BLOCK representatives, a task for
-   each pair of blocks: the sketches rule out pairs, full sets confirm the rest,
-   and only a spanning forest of the confirmed links leaves the task.
-5. The components of the confirmed links are the near-duplicate groups.
+4. Families are cut into blocks of about BLOCK representatives. Within a block the
+   sketches rule out pairs, full sets confirm the rest, and only a spanning forest of
+   the confirmed links leaves the task. Each set travels once.
+5. Between blocks, sketches alone are compared: of each two parts that may be similar
+   the nearest pair is looked at on full sets. Where that joined them, as it nearly
+   always does, nothing else of them needs to be compared. Whatever may still be similar
+   is then confirmed as within a block, for those pairs of blocks alone.
+6. The components of the confirmed links are the near-duplicate groups.
 
 Pairs at the threshold share no bucket with probability (1 - t**ROWS)**BANDS
 (4e-7 at 0.85), and the sketch filter allows for SIGMAS standard deviations.
@@ -33,7 +37,8 @@ from lexigrid.llm.words import shingle_set, split_words
 
 HASHES, ROWS, BANDS = 128, 5, 25
 SKETCH_BITS = 1024
-BLOCK = 256
+#: Representatives of a block, shingles that a block holds at most (a text at least), and representatives whose sketches a task compares.
+BLOCK, BLOCK_SHINGLES, SKETCHES = 256, 4_000_000, 4096
 SIGMAS = 5.0
 SIG_SCHEMA = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch binary"
 
@@ -110,9 +115,12 @@ def _sets(size: int):
     return run
 
 
-def confirmed_links(sketches: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between ``left`` and ``right`` (indexes; the same array: within it)."""
+def confirmed_links(sketches: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, bits: int, labels: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between ``left`` and ``right`` (indexes; the same array: within it). Rows with equal labels are joined already."""
     root = list(range(len(sets)))
+    if labels is not None:
+        first: dict[int, int] = {}
+        root = [first.setdefault(x, i) for i, x in enumerate(labels.tolist())]
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -142,36 +150,137 @@ def confirmed_links(sketches: np.ndarray, sets: list[np.ndarray], left: np.ndarr
     return links
 
 
+def _sketches(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint64).reshape(len(column), -1)
+
+
 def _compare(percent: int, bits: int):
+    """Links within (family, lo, hi): between blocks lo and hi, or within the one block."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple[int, int]] = []
         for _, family in rows.groupby(["family", "lo", "hi"], sort=False):
             sets = [np.frombuffer(b, np.uint64) for b in family["shingles"]]
-            sketches = np.frombuffer(b"".join(family["sketch"]), np.uint64).reshape(len(sets), -1)
             reps, block = family["rep"].to_numpy(), family["block"].to_numpy()
             lo, hi = family["lo"].iloc[0], family["hi"].iloc[0]
             left = np.flatnonzero(block == lo)
             right = left if lo == hi else np.flatnonzero(block == hi)
-            found += [(reps[i], reps[j]) for i, j in confirmed_links(sketches, sets, left, right, percent, bits)]
+            found += [(reps[i], reps[j]) for i, j in confirmed_links(_sketches(family["sketch"]), sets, left, right, percent, bits, family["label"].to_numpy())]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
+def _survivors(rows: pd.DataFrame, percent: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row i, rows of other blocks that may be similar but have another label, and the bits in which their sketches differ."""
+    sketches, sizes, labels, part, block = _sketches(rows["sketch"]), *(rows[c].to_numpy() for c in ("n_shingles", "label", "part", "block"))
+    lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
+    left = np.flatnonzero(part == lo)
+    right = left if lo == hi else np.flatnonzero(part == hi)
+    for k, i in enumerate(left):
+        others = right[k + 1 :] if lo == hi else right
+        small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+        others = others[(labels[others] != labels[i]) & (block[others] != block[i]) & (100 * small >= percent * large)]
+        differ = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1)
+        near = differ <= bits
+        if near.any():
+            yield i, others[near], differ[near]
+
+
+def _nearest(percent: int, bits: int):
+    """The nearest pair of each two labels."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        reps, labels = rows["rep"].to_numpy(), rows["label"].to_numpy()
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for i, others, differ in _survivors(rows, percent, bits):
+            order = np.argsort(differ, kind="stable")
+            _, first = np.unique(labels[others[order]], return_index=True)
+            for j, d in zip(others[order][first].tolist(), differ[order][first].tolist(), strict=True):
+                key = (min(labels[i], labels[j]), max(labels[i], labels[j]))
+                if key not in best or d < best[key][0]:
+                    best[key] = (d, reps[i], reps[j])
+        return pd.DataFrame([(a, b) for _, a, b in best.values()], columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _unsettled(percent: int, bits: int):
+    """Members that may be similar to one of another label, with the two blocks in which that is."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        reps, block, family = rows["rep"].to_numpy(), rows["block"].to_numpy(), rows["family"].iloc[0]
+        found: set[tuple[int, int, int]] = set()
+        for i, others, _ in _survivors(rows, percent, bits):
+            lo, hi = np.minimum(block[i], block[others]), np.maximum(block[i], block[others])
+            found.update(zip(reps[others].tolist(), lo.tolist(), hi.tolist(), strict=True))
+            found.update((int(reps[i]), int(a), int(b)) for a, b in set(zip(lo.tolist(), hi.tolist(), strict=True)))
+        out = pd.DataFrame(sorted(found), columns=["rep", "lo", "hi"], dtype="int64")
+        return out.assign(family=family)
+
+    return run
+
+
+def _confirm(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x, y = ([np.frombuffer(s, np.uint64) for s in rows[c]] for c in ("x", "y"))
+            both = np.array([np.isin(p, q, assume_unique=True, kind="sort").sum() for p, q in zip(x, y, strict=True)], np.int64)
+            either = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - both
+            yield rows.loc[100 * both >= percent * either, ["a", "b"]]
+
+    return run
+
+
+def _links(members: DataFrame, sets: DataFrame, percent: int, bits: int) -> DataFrame:
+    """(a, b): links that connect just those members (family, rep, set_id, n_shingles, sketch) of a family that similar pairs connect."""
+    totals = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("held"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
+    members = members.join(totals, "family").withColumn("n_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
+    members = cut(members.withColumn("n_parts", F.ceil(F.col("members") / SKETCHES).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("n_parts")).cast("int")), "members")
+    sets = cut(sets, "sets")
+
+    # within blocks: small families share a task call
+    packs = max(1, *(x or 0 for x in members.agg((F.count(F.lit(1)) / BLOCK).cast("long"), (F.sum("n_shingles") / BLOCK_SHINGLES).cast("long")).first()))
+    pack = F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.xxhash64("family", "block"))
+    placed = members.join(sets, ["rep", "set_id"]).selectExpr("rep", "family", "sketch", "shingles", "block", "block AS lo", "block AS hi", "rep AS label", "n_blocks").withColumn("pack", pack).drop("n_blocks")
+    links = cut(placed.groupBy("pack").applyInPandas(_compare(percent, bits), "a long, b long"), "links")
+    large = members.filter("n_blocks > 1")
+    if large.isEmpty():
+        return links
+
+    def labelled() -> DataFrame:
+        """Members of large families with their component so far, a copy for each two parts they are in."""
+        known = connected_components(links.join(large.select(F.col("rep").alias("a")), "a", "left_semi"))
+        own = large.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+        return cut(each.selectExpr("rep", "family", "set_id", "n_shingles", "sketch", "block", "label", "part", "least(part, other) AS lo", "greatest(part, other) AS hi"), "labelled")
+
+    of = lambda c, name: sets.join(large.select("rep", "set_id"), ["rep", "set_id"], "left_semi").select(F.col("rep").alias(c), F.col("shingles").alias(name))
+    near = labelled().groupBy("family", "lo", "hi").applyInPandas(_nearest(percent, bits), "a long, b long")
+    pairs = cut(near.distinct(), "nearest")
+    links = cut(links.union(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInPandas(_confirm(percent), "a long, b long")), "links")
+
+    rows = labelled()
+    open_ = cut(rows.groupBy("family", "lo", "hi").applyInPandas(_unsettled(percent, bits), "rep long, lo int, hi int, family long").distinct(), "unsettled")
+    own = rows.select("rep", "family", "set_id", "sketch", "block", "label").distinct()
+    whole = open_.join(own, ["rep", "family"]).join(sets, ["rep", "set_id"]).select("rep", "family", "sketch", "shingles", "block", "lo", "hi", "label")
+    return links.union(whole.groupBy("family", "lo", "hi").applyInPandas(_compare(percent, bits), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
     Texts are lower-cased (A-Z); a text with fewer than ``size`` words is one
     shingle; one without words (or null) has none and is linked with nothing. Rows
-    that repeat an id belong to one document, and all of them are kept or none.
-    Extra columns are ignored; an empty table gives an empty result.
+    that repeat an id belong to one document, and all of them are kept or none. Rows
+    without an id have their number of shingles, belong to no group and are kept. Extra
+    columns are ignored; an empty table gives an empty result.
     """
     bits = most_bits(percent / 100)
     sig = cut(docs.select("doc_id", "text").mapInPandas(_signatures(size), SIG_SCHEMA), "signatures")
-    classes = cut(
-        sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("x")).select("set_id", F.col("x.doc_id").alias("rep"), "x.bands", "x.sketch"),
-        "classes",
-    )
+    first = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min(F.struct("doc_id", "n_shingles", "bands", "sketch")).alias("x"))
+    classes = cut(first.select("set_id", F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.bands", "x.sketch"), "classes")
     banded = classes.select("rep", F.explode("bands").alias("key"))
     heads = banded.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("last")).filter("head <> last").select("key", "head")
     # a member keeps one link, to the smallest of its heads, and its other heads (at most BANDS) are linked with that one
@@ -179,19 +288,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     others = F.transform("heads", lambda h: F.when(h == F.col("least"), F.struct(F.col("rep").alias("a"), h.alias("b"))).otherwise(F.struct(h.alias("a"), F.col("least").alias("b"))))
     loose = own.select(F.inline(others)).distinct()
     families = connected_components(loose).withColumnRenamed("node", "rep").withColumnRenamed("label", "family")
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("members"))
-    members = cut(families.join(sizes, "family").join(classes.select("rep", "set_id", "sketch"), "rep"), "members")
-
+    members = cut(families.join(classes.select("rep", "set_id", "n_shingles", "sketch"), "rep"), "families")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = join_small(docs.select("doc_id", "text"), ids, ["doc_id"], "left_semi").mapInPandas(_sets(size), "rep long, set_id binary, shingles binary").dropDuplicates(["rep", "set_id"])
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = members.join(sets, ["rep", "set_id"]).withColumn("n_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).selectExpr("rep", "family", "n_blocks", "sketch", "shingles", "block", "least(block, other) AS lo", "greatest(block, other) AS hi")
-    # small families share a task call; the pair of blocks of a large one is a call of its own
-    packs = max(1, members.count() // BLOCK)
-    pack = F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.xxhash64("family", "lo", "hi"))
-    links = paired.withColumn("pack", pack).drop("n_blocks").groupBy("pack").applyInPandas(_compare(percent, bits), "a long, b long")
-    groups = connected_components(cut(links, "links"))
+    groups = connected_components(cut(_links(members, sets, percent, bits), "links"))
 
     known = classes.select("set_id", "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("label", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "set_id").join(known, "set_id", "left")

@@ -70,6 +70,49 @@ def test_families_around_the_threshold(spark, seed):
     check(spark, dict(enumerate(made)), 3, 85)
 
 
+@pytest.mark.parametrize(("block", "parts"), [(16, 4096), (8, 40)])
+def test_large_families_are_compared_in_blocks(spark, monkeypatch, block, parts):
+    """Many blocks of one family: groups that meet in no block, pairs on both sides of the threshold."""
+    monkeypatch.setattr(odd_minhash, "BLOCK", block)
+    monkeypatch.setattr(odd_minhash, "SKETCHES", parts)
+    made = family(3, 150, 100, (0, 10)) + family(4, 60, 40, (0, 3))
+    r = random.Random(5)
+    chain = [f"c{r.randrange(10**6)}" for _ in range(80)]
+    for k in range(70):  # each like the one before, the ends unlike
+        chain = [*chain]
+        chain[k] = f"d{k}"
+        made.append(" ".join(chain))
+    check(spark, dict(enumerate(made)), 3, 85)
+
+
+def test_sets_travel_once(spark, monkeypatch):
+    """A family of 3,000 distinct texts in 94 blocks: between blocks sketches move, and full sets for few pairs only."""
+    monkeypatch.setattr(odd_minhash, "BLOCK", 32)
+    r = random.Random(9)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = {}
+    for i in range(3000):
+        own = list(base)
+        own[r.randrange(150)], own[r.randrange(150)] = f"x{i}", f"y{i}"
+        texts[i] = " ".join(own)
+    compare = odd_minhash._compare
+    shipped = spark.sparkContext.accumulator(0)
+
+    def counting(percent, bits):
+        inner = compare(percent, bits)
+
+        def run(rows):
+            shipped.add(len(rows))
+            return inner(rows)
+
+        return run
+
+    monkeypatch.setattr(odd_minhash, "_compare", counting)
+    got = odd_minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), 3, 85).collect()
+    assert {r.component_id for r in got} == {0}
+    assert shipped.value <= 3000 * 1.2, "each set once, and hardly any for blocks that are not settled"
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     got = odd_minhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
