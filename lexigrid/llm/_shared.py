@@ -7,15 +7,20 @@ folder, ``gapless_index`` numbers rows with two narrow shuffles, and
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
 from collections.abc import Sequence
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexigrid.operators.layout import spread
+from lexigrid.shared import kept as cut
+from lexigrid.shared import shared_folder as shared_dir
+
 #: Bytes of ASCII letters A-Z in lower case, all others as they are.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -23,28 +28,23 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a fresh folder where it is unset and all runs on this machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='lexigrid-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda _: None
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends at replicated files."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexigrid/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def release() -> None:
+    """Give back what a batch needed: workers wait beside those of the next stage, and should hold little then."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, df.columns[0])
 
 
 def located(df: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import cut, join_small, table
+from lexigrid.llm._shared import cut, join_small, release, table
 from lexigrid.llm.components import connected_components
 from lexigrid.llm.words import shingle_set, split_words
 
@@ -100,6 +100,7 @@ def _signatures(size: int):
                     "doc_id": part["doc_id"].array, "n_shingles": [len(s) for s in sets], "set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
                     "bands": [b if len(s) else b[:0] for b, s in zip(bands, sets, strict=True)], "sketch": [k.tobytes() for k in sketches],
                 })
+        release()
 
     return run
 
@@ -111,6 +112,7 @@ def _sets(size: int):
                 part = rows.iloc[at : at + 512]
                 sets = [shingle_set(split_words(t, lower=True), size).tobytes() for t in part["text"]]
                 yield pd.DataFrame({"rep": part["doc_id"].array, "set_id": [xxhash.xxh3_128_digest(s) for s in sets], "shingles": sets})
+        release()
 
     return run
 

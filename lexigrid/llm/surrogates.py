@@ -73,9 +73,10 @@ PATTERNS = (
 PATTERN = "|".join(f"(?:{p})" for _, p in PATTERNS)
 
 
-#: What a text with an entity has: an @, two digits side by side, or a title before a capital. Most texts have none of it.
-_FIRST = "".join(sorted({t[0] for t in TITLES_F + TITLES_M + TITLES_N}))
-_GATE = rf"[0-9][0-9]|\b(?=[{_FIRST}]){_TITLE} \p{{Lu}}"
+#: What a text with an entity has: an @, two digits side by side, or a title before a capital. Most texts have none of it,
+#: and most of those are told by patterns that begin with a plain class of characters.
+_DIGITS, _MAYBE_TITLE = "[0-9][0-9]", "[" + "".join(sorted({t[0] for t in TITLES_F + TITLES_M + TITLES_N})) + r"]\p{L}{1,9}\.? \p{Lu}"
+_TITLED = rf"\b{_TITLE} \p{{Lu}}"
 _PERSON = "array<struct<entity:string,kind:string,canon:string,gender:string>>"
 
 
@@ -244,7 +245,8 @@ def with_mentions(docs: DataFrame) -> DataFrame:
     Names that were found by a title are looked for once more, without it. Of a family
     name alone, the first person of the text who bears it is meant.
     """
-    has = F.col("text").isNotNull() & (F.contains(F.col("text"), F.lit("@")) | F.col("text").rlike(_GATE))
+    t = F.col("text")
+    has = t.isNotNull() & (F.contains(t, F.lit("@")) | t.rlike(_DIGITS) | (t.rlike(_MAYBE_TITLE) & t.rlike(_TITLED)))
     none = F.array().cast("array<string>")
     first = docs.withColumn("_lx_first", F.when(has, F.regexp_extract_all(F.col("text"), F.lit(PATTERN), F.lit(0))).otherwise(none))
     titled = F.filter("_lx_first", lambda e: title_of(e) != "")

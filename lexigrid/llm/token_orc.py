@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexigrid.llm._shared import cut, shared_dir, table
+from lexigrid.llm._shared import cut, release, shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
@@ -185,6 +185,7 @@ def _encode(tokenizer: str):
                 at += len(counts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), lists], names=["doc_id", "row", "ids"])
+        release()
 
     return run
 

@@ -1,5 +1,6 @@
 """Mixing, sharding and the pipeline."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -140,6 +141,46 @@ def test_shards_are_even(spark, sf):
     assert sum(sums.values()) == 12
 
 
+def brute_tree(points, n):
+    """Shards by plain recursion: sort along the widest dimension, cut at the row nearest to the target weight."""
+    dims = kd_sharding.DIMENSIONS
+    whole = [max(1, max(p[d] for p in points) - min(p[d] for p in points)) for d in dims]
+    out = {}
+
+    def split(rows, leaves, first):
+        if leaves == 1 or not rows:
+            out.update({p["row"]: first for p in rows})
+            return
+        spread = [(max(p[d] for p in rows) - min(p[d] for p in rows)) / w for d, w in zip(dims, whole, strict=True)]
+        dim = dims[max(range(len(dims)), key=lambda k: (spread[k], -k))]
+        key = lambda p: (p[dim], p["tie_text"], p["tie_id"])
+        target, running, weights = sum(p["size"] for p in rows) * (leaves // 2) / leaves, 0, Counter()
+        for p in rows:
+            weights[key(p)] += p["size"]
+        for k in sorted(weights):
+            if running + weights[k] >= target:
+                goes_left = running + weights[k] - target < target - running
+                break
+            running += weights[k]
+        left = [p for p in rows if key(p) < k or (goes_left and key(p) == k)]
+        split(left, leaves // 2, first)
+        split([p for p in rows if p not in left], leaves - leaves // 2, first + leaves // 2)
+
+    split(points, n, 0)
+    return out
+
+
+@pytest.mark.parametrize("n", [2, 5, 8])
+def test_tree_equals_brute_force(spark, monkeypatch, n):
+    monkeypatch.setattr(kd_sharding, "TOLERANCE", 0.0)
+    r = random.Random(n)
+    rows = [(i, "x" * int(1000 * r.random() ** 4), r.choice(["a", "a", "a", "b", "c"]), r.choice(["en", "de"])) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    points = [p.asDict() | {"row": p.doc_id} for p in kd_sharding.metadata_points(docs).collect()]
+    got = {p.doc_id: p.shard for p in kd_sharding.shard_documents(docs, n).collect()}
+    assert got == brute_tree(points, n)
+
+
 def test_sharding_odd_rows(odd, empty):
     sums, rows = check_shards(odd, 5)
     assert len(rows) == odd.count()
