@@ -9,7 +9,7 @@ HIGH_CONFIDENCE = 0.7
 RECALL_CUTOFFS, NDCG_CUTOFF, MIN_EVAL_TOP_K = (1, 5, 10), 10, 10
 MAX_FILE_BYTES = MAX_URL_BYTES = 10 * 1024 * 1024
 EXTENSIONS = (".md", ".markdown", ".txt")
-EMBED_DIMS, HASH_EMBED_DIMS = 768, 384
+EMBED_DIMS, HASH_EMBED_DIMS, EMBED_BATCH = 768, 384, 32
 CONTEXT_TOKENS, CHARS_PER_TOKEN = 4000, 4
 SNIPPET_CHARS = 160
 MIN_EVAL_DOCS, MIN_JUDGMENTS, MAX_TOKEN_OVERLAP = 8, 40, 0.7

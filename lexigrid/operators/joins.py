@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +24,3 @@ def few(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 def hinted(df: DataFrame, small: bool) -> DataFrame:
     """``df`` with a broadcast hint if it is small; else Spark shuffles, and AQE splits skewed partitions."""
     return F.broadcast(df) if small else df
-
-
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    return hinted(df, few(df, rows))
-
-
-def join_sized(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    return left.join(sized(right, rows), list(on), how)

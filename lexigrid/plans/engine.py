@@ -289,6 +289,10 @@ class Engine:
         hits = ranked.withColumn("is_high_confidence", F.col("score") >= D.HIGH_CONFIDENCE).select(*found.columns)
         return Response(hits, meta | {"rerank_input_depth": depth, "rerank_model": getattr(reranker, "model_name", getattr(reranker, "__name__", type(reranker).__name__))})
 
+    def assemble(self, name: str, queries: DataFrame, k: int = D.TOP_K, budget: int = D.CONTEXT_TOKENS) -> DataFrame:
+        """(query_id, context, n_blocks): the framed hits of each query that fit into the budget."""
+        return context.assemble(self.search(name, queries, k=k), budget)
+
     def fetch(self, name: str, chunk_id: str, current: DataFrame, extractors: tuple[str, ...] = ()) -> dict:
         """A chunk with its verdict; its content only if the source still holds it."""
         run = self.runtime(name)

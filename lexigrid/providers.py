@@ -53,17 +53,22 @@ class FunctionEmbedder:
 
     load: Callable[[], Callable[[list[str]], list[list[float]]]]
     identity: dict
+    batch: int = D.EMBED_BATCH
 
     def column(self, text: Column) -> Column:
-        load, dims = self.load, self.identity["dimensions"]
+        load, dims, size = self.load, self.identity["dimensions"], self.batch
 
         @F.pandas_udf("array<float>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             model = load()
             for texts in batches:
-                rows = model(texts.tolist())
-                if len(rows) != len(texts) or any(len(r) != dims for r in rows):
-                    raise ProviderError(f"the model's answer is not {len(texts)} vectors of width {dims}")
+                rows = []
+                for at in range(0, len(texts), size):
+                    asked = texts.iloc[at : at + size].tolist()
+                    got = model(asked)
+                    if len(got) != len(asked) or any(len(r) != dims for r in got):
+                        raise ProviderError(f"the model's answer is not {len(asked)} vectors of width {dims}")
+                    rows += got
                 yield pd.Series(rows, index=texts.index)
 
         return run(text)

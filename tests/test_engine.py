@@ -3,6 +3,7 @@ import json
 import pytest
 
 from lexigrid.errors import EvaluationError, IdentityError, IngestError, ProviderError, RetrievalError
+from lexigrid.plans.echo import echo_check, make_cases, score_answers
 from lexigrid.plans.engine import Engine
 from lexigrid.operators import ingest
 from lexigrid.providers import HashEmbedder, ScriptedChat
@@ -137,6 +138,8 @@ def test_rerank_is_said_and_attributed(spark, folder, tmp_path):
     assert report.config["stages"] == ["bm25", "dense", "fusion", "rerank"] and report.config["rerank_input"] == "fusion"
     own = report.attribution().first()
     assert (own.stage, own.baseline) == ("rerank", "fusion") and report.deltas().count() == 3
+    framed = engine.assemble("c", q, k=3).first()
+    assert framed.n_blocks >= 1 and framed.context.count("<retrieved_context>") == framed.n_blocks
     tallies = engine.answer_all("c", judgments, ScriptedChat(["Workers do [1]."])).first()
     assert (tallies.n, tallies.answered, tallies.abstained) == (1, 1, 0)
 
@@ -249,3 +252,18 @@ def test_a_stream_is_searchable_and_keeps_the_newest(spark, tmp_path):
     assert [r.content for r in engine.search("c", ask(spark, "text")).collect()] == ["aa new text"]
     run(2)  # all of it again, as after a failure
     assert engine.collection("c").generation == 1
+
+
+def test_echo_check(spark):
+    answers = ["It is filed there [1].", "See [2].", "Both [1][2].", "I do not know.", "See [7]."]
+    scored, totals = echo_check(spark, ScriptedChat(answers))
+    assert {r.case: (r.outcome, r.correct) for r in scored.collect()} == {0: ("cited_positive", True), 1: ("cited_decoy", False), 2: ("cited_decoy", False), 3: ("abstained", False), 4: ("rejected", False)}
+    assert (totals["n"], totals["correct"], totals["cited_decoy"], totals["leaked"]) == (5, 1, 2, 0)
+    cases = make_cases(spark, 1).cache()
+    absent = cases.first().absent
+    leak = spark.createDataFrame([(0, f"[1] {absent}")], "case int, answer string")
+    own = score_answers(leak, cases, cases.select("source", "content")).first()
+    assert own.grounded and own.leaked and not own.correct
+    changed = cases.selectExpr("source", "'something else' AS content")
+    assert not score_answers(leak, cases, changed).first().grounded and "[" not in absent
+    cases.unpersist()
