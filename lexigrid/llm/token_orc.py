@@ -30,9 +30,9 @@ from lexigrid.llm._shared import cut, release, shared_dir, table
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 0
 #: Pieces a worker remembers.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: Bytes of text that are encoded at a time (one text at least); it bounds what a worker holds besides its pieces.
-SLICE = 8_000_000
+SLICE = 6_000_000
 #: How the files are laid out; the stripe size is in bytes, the stride in rows.
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.stripe.size": "67108864", "orc.row.index.stride": "2000"}
 
