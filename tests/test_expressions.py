@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.functions import text as T
 from lexigrid.functions import urls, vectors
+from lexigrid.operators import dense
 
 
 def one(spark, value, expression, kind="string"):
@@ -77,5 +78,6 @@ def test_hash_embedding_follows_its_formula(spark):
 
 
 def test_cosine_floor_and_zero(spark):
-    row = spark.sql("SELECT array(1D, 0D) a, array(-1D, 0D) b, array(0D, 0D) z")
-    assert tuple(row.select(vectors.cosine(F.col("a"), F.col("a")), vectors.cosine(F.col("a"), F.col("b")), vectors.cosine(F.col("a"), F.col("z"))).first()) == (1.0, 0.0, 0.0)
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [-1.0, 0.0]), (3, [0.0, 0.0])], "vec_id long, vector array<double>")
+    got = dense.search_dense(rows.filter("vec_id <> 2").withColumnRenamed("vec_id", "query_id"), rows, 3)
+    assert {(r.query_id, r.vec_id): r.score for r in got.collect()} == {(1, 1): 1.0, (1, 2): 0.0, (1, 3): 0.0, (3, 1): 0.0, (3, 2): 0.0, (3, 3): 0.0}
