@@ -239,34 +239,39 @@ def _links(members: DataFrame, sets: DataFrame, percent: int, bits: int) -> Data
     totals = members.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("held"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
     members = members.join(totals, "family").withColumn("n_blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
-    members = cut(members.withColumn("n_parts", F.ceil(F.col("members") / SKETCHES).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("n_parts")).cast("int")), "members")
-    sets = cut(sets, "sets")
+    members = members.withColumn("n_parts", F.ceil(F.col("members") / SKETCHES).cast("int")).withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("n_parts")).cast("int"))
+    placed = cut(members.join(sets, ["rep", "set_id"]), "members")  # whatever needs no set reads none
 
     # within blocks: small families share a task call
-    packs = max(1, *(x or 0 for x in members.agg((F.count(F.lit(1)) / BLOCK).cast("long"), (F.sum("n_shingles") / BLOCK_SHINGLES).cast("long")).first()))
+    packs = max(1, *(x or 0 for x in placed.agg((F.count(F.lit(1)) / BLOCK).cast("long"), (F.sum("n_shingles") / BLOCK_SHINGLES).cast("long")).first()))
     pack = F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.xxhash64("family", "block"))
-    placed = members.join(sets, ["rep", "set_id"]).selectExpr("rep", "family", "sketch", "shingles", "block", "block AS lo", "block AS hi", "rep AS label", "n_blocks").withColumn("pack", pack).drop("n_blocks")
-    links = cut(placed.groupBy("pack").applyInPandas(_compare(percent, bits), "a long, b long"), "links")
-    large = members.filter("n_blocks > 1")
+    within = placed.select("rep", "family", "sketch", "shingles", "block", F.col("block").alias("lo"), F.col("block").alias("hi"), F.col("rep").alias("label"), pack.alias("pack"))
+    links = cut(within.groupBy("pack").applyInPandas(_compare(percent, bits), "a long, b long"), "links")
+    large = placed.filter("n_blocks > 1")
     if large.isEmpty():
         return links
 
     def labelled() -> DataFrame:
         """Members of large families with their component so far, a copy for each two parts they are in."""
         known = connected_components(links.join(large.select(F.col("rep").alias("a")), "a", "left_semi"))
-        own = large.join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        own = large.select("rep", "family", "n_shingles", "sketch", "block", "part", "n_parts").join(known.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-        return cut(each.selectExpr("rep", "family", "set_id", "n_shingles", "sketch", "block", "label", "part", "least(part, other) AS lo", "greatest(part, other) AS hi"), "labelled")
+        return cut(each.selectExpr("rep", "family", "n_shingles", "sketch", "block", "label", "part", "least(part, other) AS lo", "greatest(part, other) AS hi"), "labelled")
+
+    def sets_of(reps: DataFrame) -> DataFrame:
+        """(rep, shingles) of few members: only their sets are shuffled afterwards."""
+        return join_small(large.select("rep", "shingles"), reps.select("rep").distinct(), ["rep"], "left_semi")
 
-    of = lambda c, name: sets.join(large.select("rep", "set_id"), ["rep", "set_id"], "left_semi").select(F.col("rep").alias(c), F.col("shingles").alias(name))
     near = labelled().groupBy("family", "lo", "hi").applyInPandas(_nearest(percent, bits), "a long, b long")
     pairs = cut(near.distinct(), "nearest")
+    asked = cut(sets_of(pairs.selectExpr("a AS rep").union(pairs.selectExpr("b AS rep"))), "asked")
+    of = lambda c, name: asked.select(F.col("rep").alias(c), F.col("shingles").alias(name))
     links = cut(links.union(pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").mapInPandas(_confirm(percent), "a long, b long")), "links")
 
     rows = labelled()
     open_ = cut(rows.groupBy("family", "lo", "hi").applyInPandas(_unsettled(percent, bits), "rep long, lo int, hi int, family long").distinct(), "unsettled")
-    own = rows.select("rep", "family", "set_id", "sketch", "block", "label").distinct()
-    whole = open_.join(own, ["rep", "family"]).join(sets, ["rep", "set_id"]).select("rep", "family", "sketch", "shingles", "block", "lo", "hi", "label")
+    own = join_small(rows.select("rep", "family", "sketch", "block", "label").distinct(), open_.select("rep").distinct(), ["rep"], "left_semi")
+    whole = open_.join(own, ["rep", "family"]).join(sets_of(open_), "rep").select("rep", "family", "sketch", "shingles", "block", "lo", "hi", "label")
     return links.union(whole.groupBy("family", "lo", "hi").applyInPandas(_compare(percent, bits), "a long, b long"))
 
 
