@@ -168,6 +168,8 @@ def _compare(percent: int, bits: int):
             left = np.flatnonzero(block == lo)
             right = left if lo == hi else np.flatnonzero(block == hi)
             found += [(reps[i], reps[j]) for i, j in confirmed_links(_sketches(family["sketch"]), sets, left, right, percent, bits, family["label"].to_numpy())]
+        sets = []
+        release()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
@@ -218,6 +220,7 @@ def _unsettled(percent: int, bits: int):
             found.update(zip(reps[others].tolist(), lo.tolist(), hi.tolist(), strict=True))
             found.update((int(reps[i]), int(a), int(b)) for a, b in set(zip(lo.tolist(), hi.tolist(), strict=True)))
         out = pd.DataFrame(sorted(found), columns=["rep", "lo", "hi"], dtype="int64")
+        release()
         return out.assign(family=family)
 
     return run
@@ -230,6 +233,7 @@ def _confirm(percent: int):
             both = np.array([np.isin(p, q, assume_unique=True, kind="sort").sum() for p, q in zip(x, y, strict=True)], np.int64)
             either = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - both
             yield rows.loc[100 * both >= percent * either, ["a", "b"]]
+        release()
 
     return run
 

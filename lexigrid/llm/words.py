@@ -13,7 +13,7 @@ import xxhash
 from lexigrid.llm._shared import LOWER
 
 #: Words a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)
