@@ -260,8 +260,7 @@ def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def abstention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as queries over whole documents: how many get no hit of a score of 4 or more from BM25."""
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), "role", F.coalesce("text", F.lit("")).alias("query"))
-    hits = lexical.search_lexical(turns, chunking.whole_documents(documents(spark, sf_dir)), 1, threshold=4.0)
-    return evaluation.abstentions(turns, hits, "role")
+    return evaluation.abstentions(turns, lexical.answered(turns, chunking.whole_documents(documents(spark, sf_dir)), 4.0), "role")
 
 
 # incremental ingest: labelled documents and all pages are stored, all documents are current

@@ -48,6 +48,28 @@ def test_bm25_edges(spark, chunks):
         lexical.search_lexical(q, chunks, 51)
 
 
+def test_answered_equals_the_search(spark, chunks, monkeypatch):
+    """Hits by bounds are those of a search, which is never run over all queries and chunks; repeated chunks are searched."""
+    asked = ["cat", "cat cat the", "bird unknown", "the dog", "?!", "nowhere", "", "the", "cat the dog bird"]
+    q = spark.createDataFrame(list(enumerate(asked)) + [(0, "the dog")], "query_id long, query string")
+    wanted = lambda df: {r.query_id: r.score for r in lexical.search_lexical(q, df, 1).collect()}
+    every, twice = wanted(chunks), chunks.union(chunks.limit(1))
+    least = every[3]
+    again = {i for i, s in wanted(twice).items() if s >= least}
+    assert {r.query_id for r in lexical.answered(q, twice, least).collect()} == again
+    monkeypatch.setattr(lexical, "search_lexical", None)
+    for x in (0.0, least, least + 1e-6):
+        assert sorted(r.query_id for r in lexical.answered(q, chunks, x).collect()) == sorted(i for i, s in every.items() if s >= x)
+    assert lexical.answered(q, chunks.limit(0), 1.0).isEmpty()
+
+
+def test_terms_are_counted_within_a_row(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "c", "b"]), (2, []), (3, ["z"])], "i int, words array<string>")
+    df = lexical.counted(rows, "i")
+    assert sorted(map(tuple, df.collect())) == [(1, 5, "", 1), (1, 5, "a", 1), (1, 5, "b", 3), (1, 5, "c", 1), (2, 0, "", 1), (3, 1, "", 1), (3, 1, "z", 1)]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_dense_blocks_equal_brute_force(spark):
     import numpy as np
 
