@@ -6,7 +6,7 @@ or pieces that are no whole characters), and for the first one the entropy of th
 tokens, as a share of the most that so many tokens could have. A text outside the bands
 of its language, else of its script, is rejected.
 
-The bands of a language are fitted on a bounded sample of labelled good rows: for each
+The bands of a language are fitted on all of its labelled good rows: for each
 octave of token counts, the range of every measure among the good rows of about that
 length, and a little slack. So short and long texts are held against texts like them, by
 one rule for all sizes. Scripts have wide bands that are stated here.
@@ -40,10 +40,8 @@ REMEMBERED = 250_000
 #: Bytes of text that are measured at a time (one text at least).
 SLICE = 500_000
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
-#: Labelled good rows of a language that its bands are fitted on, at most; and at least, else it has none of its own.
-FIT_ROWS, FIT_LEAST = 1000, 40
-#: Languages that get bands, the most frequent ones among the labelled rows.
-FIT_LANGUAGES = 200
+#: Labelled good rows of a language that its bands are fitted on, at least; else it has none of its own.
+FIT_LEAST = 40
 #: What a band is wider than the range of the good rows: a share of characters per token, and shares themselves.
 SLACK, SLACK_SHARE = 0.03, 0.02
 #: A band: least and most characters per token, most byte share (first, then second vocabulary), least entropy share,
@@ -314,37 +312,38 @@ def fertility(text: Column, lang: Column, bands: Bands = {}, vocabularies: tuple
     return run.asNondeterministic()(text.cast("string"), lang.cast("string"))
 
 
-def bands_of(sample: pd.DataFrame) -> dict[str, tuple[int, list[tuple]]]:
-    """Bands from good rows (lang, n_tokens, MEASURES). An octave with few rows is fitted on those of its neighbours too."""
+def bands_of(ranges: pd.DataFrame) -> dict[str, tuple[int, list[tuple]]]:
+    """Bands from the ranges of good rows (lang, octave, n, least and most of the MEASURES). An octave with few rows is fitted on those of its neighbours too."""
     out = {}
-    for lang, own in sample.groupby("lang"):
-        if len(own) < FIT_LEAST:
+    for lang, own in ranges.groupby("lang"):
+        at, n = own["octave"].to_numpy(), own["n"].to_numpy()
+        least, most = (own[[f"{end}_{c}" for c in MEASURES]].to_numpy() for end in ("least", "most"))
+        if n.sum() < FIT_LEAST:
             continue
-        at, values = np.array([octave(n) for n in own["n_tokens"]]), own[list(MEASURES)].to_numpy()
         rows = []
         for o in range(at.min(), at.max() + 1):
-            near = next(near for width in range(64) if (near := np.abs(at - o) <= width).sum() >= FIT_LEAST)
-            lo, hi = values[near].min(axis=0), values[near].max(axis=0)
+            near = next(near for width in range(64) if n[near := np.abs(at - o) <= width].sum() >= FIT_LEAST)
+            lo, hi = least[near].min(axis=0), most[near].max(axis=0)
             rows.append((lo[0] * (1 - SLACK), hi[0] * (1 + SLACK), hi[1] + SLACK_SHARE, lo[2] * (1 - SLACK), hi[2] * (1 + SLACK), hi[3] + SLACK_SHARE, lo[4] - SLACK_SHARE, at.max() + 1))
         out[lang] = (int(at.min()), [tuple(map(float, r)) for r in rows])
     return out
 
 
 def fit_bands(docs: DataFrame, labels: DataFrame, vocabularies: tuple[str, str] = VOCABULARIES) -> dict[str, tuple[int, list[tuple]]]:
-    """Bands of the languages of ``docs`` (doc_id, text, lang) from rows that ``labels`` (doc_id, quality) call good and that pass the base rules.
+    """Bands of the languages of ``docs`` (doc_id, text, lang) from all rows that ``labels`` (doc_id, quality) call good and that pass the base rules.
 
-    At most FIT_ROWS rows of each of FIT_LANGUAGES languages are used, chosen by a hash
-    of the id, and only their measures come to the driver. Without good rows there are
-    no bands, and scripts decide.
+    Spark sums the rows up to the ranges of each language and octave of token counts,
+    and only those of languages with FIT_LEAST rows come to the driver. Without good
+    rows there are no bands, and scripts decide.
     """
     good = labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.select("doc_id", F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL").join(good, "doc_id")
-    common = named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(FIT_LANGUAGES).select("lang")
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = named.join(F.broadcast(common), "lang").withColumn("_lx_n", F.row_number().over(first)).filter(F.col("_lx_n") <= FIT_ROWS).select("doc_id", "lang")
-    texts = join_small(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")), chosen, ["doc_id", "lang"], "left_semi")
-    measured = texts.select("doc_id", "lang", fertility(F.col("text"), F.col("lang"), {}, vocabularies).alias("m")).filter("NOT m.base_failed")
-    return bands_of(measured.select("doc_id", "lang", "m.n_tokens", *[f"m.{c}" for c in MEASURES]).toPandas())  # FIT_ROWS * FIT_LANGUAGES narrow rows at most
+    texts = join_small(docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL"), good, ["doc_id"], "left_semi")
+    measured = texts.select("lang", fertility(F.col("text"), F.col("lang"), {}, vocabularies).alias("m")).filter("NOT m.base_failed")
+    octaves = (F.length(F.bin(F.greatest("m.n_tokens", F.lit(1)))) - 1).alias("octave")
+    ends = [f(f"m.{c}").alias(f"{end}_{c}") for end, f in (("least", F.min), ("most", F.max)) for c in MEASURES]
+    ranges = measured.groupBy("lang", octaves).agg(F.count(F.lit(1)).alias("n"), *ends)
+    enough = ranges.withColumn("_lx_all", F.sum("n").over(Window.partitionBy("lang"))).filter(F.col("_lx_all") >= FIT_LEAST).drop("_lx_all")
+    return bands_of(enough.toPandas())  # a few narrow rows a language
 
 
 def keep_fluent(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:

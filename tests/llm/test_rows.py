@@ -83,6 +83,18 @@ def test_each_measure_rejects(spark):
     assert wide["kept"].tolist() == [True, False, True] and wide["band"].tolist() == ["latin", "*", "cyrillic"]
 
 
+def test_bands_are_fitted_on_all_good_rows(spark):
+    """One odd good row among more than a thousand widens the band, whatever its id; all languages get bands."""
+    texts = ["the history of town began when settlers built a mill near the river"] * 1100
+    for odd in (0, 1099):
+        texts[odd] = f"{'zq' * 40} " + texts[odd]
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(10_000 + i, texts[1], f"l{i % 220}") for i in range(220 * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bands = fertility_rules.fit_bands(docs, docs.selectExpr("doc_id", "1 AS quality"))
+    assert len(bands) == 221
+    assert fertility_rules.measure(texts, ["en"] * len(texts), bands)["kept"].all()
+
+
 def test_fitted_bands_on_held_out_labels(spark):
     """Bands from one half of the labelled rows, measured on the other half."""
     sf = "/root/testdata/sf0.01"
