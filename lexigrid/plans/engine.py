@@ -42,8 +42,8 @@ class Chunking:
             own["separators"] = self.separators
         return json.dumps(own, separators=(",", ":"))
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        return chunking.recursive_chunks(docs, self.size, self.overlap, self.separators)
+    def apply(self, docs: DataFrame, *carried: str) -> DataFrame:
+        return chunking.recursive_chunks(docs, self.size, self.overlap, self.separators, carried)
 
 
 @dataclass
@@ -173,22 +173,24 @@ class Engine:
             return out | {"chunks_written": 0, "vectors_written": 0, "vectors_deleted": 0, "generation": col.generation}
         replaced = status.filter("status IN ('changed', 'emptied')").select("source").union(gone)
         dead = kept(stored.join(hinted(replaced, n_gone <= BROADCAST_ROWS), "source", "left_semi").select("document_id"), "dead")
-        fresh = status.filter("status IN ('new', 'changed')").select("source", "fingerprint")
+        fresh = docs.filter(~F.coalesce(T.is_blank(F.col("content")), F.lit(False))).withColumn("fingerprint", ingest.fingerprint(F.col("content"), how.settings))
+        if n_same := totals.get("unchanged", 0):  # a join that is no broadcast would shuffle texts, so the shorter side is taken
+            same = status.filter("status = 'unchanged'").select("source")
+            wanted = status.filter("status IN ('new', 'changed')").select("source")
+            fresh = fresh.join(hinted(wanted, True), "source", "left_semi") if n_fresh <= BROADCAST_ROWS else fresh.join(hinted(same, n_same <= BROADCAST_ROWS), "source", "left_anti")
         n_dead_vectors = col.read("vectors").join(hinted(dead, n_gone <= BROADCAST_ROWS), "document_id", "left_semi").count() if col.has("vectors") and n_gone else 0
-        n_chunks = self._write(col, docs.join(hinted(fresh, n_fresh <= BROADCAST_ROWS), "source"), dead if n_gone else None, how, embedder)
+        n_chunks = self._write(col, fresh, dead if n_gone else None, how, embedder)
         return out | {"chunks_written": n_chunks, "vectors_written": n_chunks if embedder else 0, "vectors_deleted": n_dead_vectors, "generation": col.compact()}
 
     def _write(self, col: Collection, docs: DataFrame, dead: DataFrame | None, how: Chunking, embedder: Embedder | None) -> int:
-        """One generation: each table is made from the one written before it, so that no text is chunked twice."""
+        """One generation: each table is made from the one written before it, so that no text is chunked twice, and no text or token is shuffled."""
         draft = col.draft(embedder.identity if embedder else None)
         documents = draft.write("documents", docs.select("document_id", "source", "fingerprint", "source_class", "extractor", F.length("content").alias("n_chars")))
-        known = docs.select("document_id", "source_class", metadata.with_source(F.col("metadata"), F.col("source")).alias("metadata"))
-        made = how.apply(docs.select("document_id", "source", "content")).join(known.drop("source_class"), "document_id")
+        made = how.apply(docs.select("document_id", "source", "content", metadata.with_source(F.col("metadata"), F.col("source")).alias("metadata")), "metadata")
         chunks = draft.write("chunks", made.select("chunk_id", *lexical.TIES, "start_offset", "end_offset", "content", "content_hash", "metadata"))
         ingest.refuse_orphans(chunks, documents)
         ingest.refuse_repeats(documents, "document_id")
-        # sorted by term: row groups of other terms are skipped
-        draft.write("postings", lexical.build_postings(chunks).repartitionByRange("term").sortWithinPartitions("term"))
+        draft.write("postings", lexical.stored_postings(chunks))
         if embedder:
             vectors = chunks.select(*lexical.TIES, "metadata", embedder.column(F.col("content")).alias("vector"))
             draft.write("vectors", dense.check_width(vectors, embedder.identity["dimensions"]))

@@ -28,6 +28,8 @@ from lexigrid.errors import IdentityError, IngestError
 POINTER, MARK, TOMBSTONES = "CURRENT", "lexigrid-collection/2", "tombstones"
 #: Parts of a generation beyond which all live rows are written as one.
 MAX_PARTS = 8
+#: Hashes and ids are most of what a chunk needs beside its text: zstd halves hexadecimal digits, and large dictionaries hold them once a file.
+WRITING = {"compression": "zstd", "parquet.dictionary.page.size": str(8 * 1024 * 1024)}
 _NAME = re.compile(r"[A-Za-z0-9._-]+")
 
 
@@ -191,7 +193,7 @@ class Draft:
     def write(self, table: str, df: DataFrame) -> DataFrame:
         """Write the rows that this generation adds to a table; returns them as they are stored."""
         path = f"{self.collection.base}/{self.folder}/{table}"
-        df.write.parquet(path)
+        df.write.options(**WRITING).parquet(path)
         self.tables.append(table)
         return self.collection.spark.read.schema(df.schema).parquet(path)
 

@@ -7,8 +7,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.operators.joins import BROADCAST_ROWS, hinted
 from lexigrid.plans.engine import Engine
-from lexigrid.shared import shared_folder
+from lexigrid.shared import kept, shared_folder
+
+
+def newest(rows: DataFrame, version: str | None = None) -> DataFrame:
+    """(source, content): of each source the text with the highest ``version``, then the greatest one. Only texts of repeated sources are shuffled."""
+    rows = rows.filter("source IS NOT NULL")
+    repeated = kept(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("source"), "repeated")
+    n = repeated.count()
+    if not n:
+        return rows.select("source", "content")
+    repeated = hinted(repeated, n <= BROADCAST_ROWS)
+    order = F.struct(*([F.col(version)] if version else []), "content")
+    several = rows.join(repeated, "source", "left_semi").groupBy("source").agg(F.max_by("content", order).alias("content"))
+    return rows.join(repeated, "source", "left_anti").select("source", "content").union(several)
 
 
 def stream_into(stream: DataFrame, engine: Engine, name: str, checkpoint: str, version: str | None = None):
@@ -21,9 +35,7 @@ def stream_into(stream: DataFrame, engine: Engine, name: str, checkpoint: str, v
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        order = F.struct(*([F.col(version)] if version else []), "content")
-        newest = batch.filter("source IS NOT NULL").groupBy("source").agg(F.max_by("content", order).alias("content"))
-        engine.ingest(name, newest.select(F.sha2(F.col("source").cast("binary"), 256).alias("document_id"), "source", "content"), prune=False)
+        engine.ingest(name, newest(batch, version).select(F.sha2(F.col("source").cast("binary"), 256).alias("document_id"), "source", "content"), prune=False)
         engine.collection(name).drop_old()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,17 +1,18 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrid.errors import EvaluationError, IdentityError, IngestError, ProviderError, RetrievalError
 from lexigrid.plans.echo import echo_check, make_cases, score_answers
 from lexigrid.plans.engine import Engine
-from lexigrid.operators import ingest
+from lexigrid.operators import ingest, lexical
 from lexigrid.providers import HashEmbedder, ScriptedChat
 from lexigrid.sources.collection import Collection, list_collections
 from lexigrid.sources.fetched import load_fetched
 from lexigrid.sources.files import Extractor, contained, discover, load_directory, load_files
 from lexigrid.sources.judgments import load_judgments
-from lexigrid.streaming.ingest import stream_into
+from lexigrid.streaming.ingest import newest, stream_into
 
 
 @pytest.fixture()
@@ -254,6 +255,23 @@ def test_a_stream_is_searchable_and_keeps_the_newest(spark, tmp_path):
     assert engine.collection("c").generation == 1
 
 
+def test_a_batch_shuffles_no_text(spark, tmp_path):
+    """A new batch is stored without a shuffle of texts, chunks or tokens, in postings that equal those of a shuffle."""
+    rows = spark.createDataFrame([(f"s{i}", f"text {i} of text " + "word " * 200, 1) for i in range(5)] + [("s0", "newer", 2), (None, "x", 1)], "source string, content string, at int")
+    single = rows.filter("source <> 's0'")
+    assert "Exchange" not in newest(single, "at")._jdf.queryExecution().executedPlan().toString()
+    got = {r.source: r.content for r in newest(rows, "at").collect()}
+    assert len(got) == 5 and got["s0"] == "newer"
+    engine = Engine(spark, str(tmp_path / "root"))
+    docs = newest(rows, "at").selectExpr("source AS document_id", "source", "content")
+    engine.ingest("c", docs, prune=False)
+    chunks, postings = (engine.collection("c").read(t) for t in ("chunks", "postings"))
+    assert sorted(map(tuple, postings.collect())) == sorted(map(tuple, lexical.build_postings(chunks).select(*postings.columns).collect()))
+    assert "Exchange" not in lexical.stored_postings(chunks)._jdf.queryExecution().executedPlan().toString()
+    assert engine.ingest("c", docs.withColumn("content", F.expr("if(source = 's1', 'changed', content)")), prune=False)["documents_indexed"] == 1
+    assert {r.metadata["source"] for r in engine.collection("c").read("chunks").collect()} == {f"s{i}" for i in range(5)}
+
+
 def test_echo_check(spark):
     answers = ["It is filed there [1].", "See [2].", "Both [1][2].", "I do not know.", "See [7]."]
     scored, totals = echo_check(spark, ScriptedChat(answers))
