@@ -253,12 +253,12 @@ def _band(bands: Bands, lang: str | None, text: str | None, n_tokens: int) -> tu
 def measure(texts: list[str | None] | pa.Array, langs: list[str | None], bands: Bands = {}, vocabularies: tuple[str, str] = VOCABULARIES) -> pd.DataFrame:  # noqa: B006
     """The columns of SCHEMA for texts; a null text has no words, and a text without words fails the base rules."""
     known = _table(vocabularies)
-    column = pc.fill_null(pa.array(texts, pa.large_string()), "") if isinstance(texts, list) else pc.fill_null(texts, "")
-    sizes = pc.binary_length(column).to_numpy()
+    column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     part_of, out = (np.cumsum(sizes) - sizes) // SLICE, []
     for part in np.unique(part_of):
         first, last = np.searchsorted(part_of, [part, part + 1])
-        own = column.slice(first, last - first)
+        own = pc.fill_null(column.slice(first, last - first).cast(pa.large_string()), "")  # only a slice is ever copied
         split = pc.ascii_split_whitespace(own.cast(pa.large_binary()).cast(pa.large_string()))
         distinct = pc.dictionary_encode(split.values)
         index, offsets = distinct.indices.to_numpy(zero_copy_only=False), split.offsets.to_numpy()
@@ -299,15 +299,22 @@ def _dup_lines(text: str) -> int:
     return len(lines) - len(set(lines))
 
 
+def _measured(texts: pa.Array, langs: pa.Array, bands: Bands, vocabularies: tuple[str, str]) -> pa.StructArray:
+    """The struct of SCHEMA for a batch as it arrived; its texts become neither Python objects nor another column."""
+    out = measure(texts, langs.to_pylist(), bands, vocabularies)
+    _table(vocabularies).forget()
+    release()
+    kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+    fields = [c.split() for c in SCHEMA.split(", ")]
+    return pa.StructArray.from_arrays([pa.array(out[name], kinds[kind]) for name, kind in fields], [name for name, _ in fields])
+
+
 def fertility(text: Column, lang: Column, bands: Bands = {}, vocabularies: tuple[str, str] = VOCABULARIES) -> Column:  # noqa: B006
     """The struct of SCHEMA for a text and its language (which may be null)."""
 
-    @F.pandas_udf(SCHEMA)
-    def run(texts: pd.Series, langs: pd.Series) -> pd.DataFrame:
-        out = measure(pa.Array.from_pandas(texts, type=pa.large_string()), langs.tolist(), bands, vocabularies)
-        _table(vocabularies).forget()
-        release()
-        return out
+    @F.arrow_udf(SCHEMA)
+    def run(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        return _measured(texts, langs, bands, vocabularies)
 
     return run.asNondeterministic()(text.cast("string"), lang.cast("string"))
 

@@ -22,6 +22,7 @@ from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from math import ceil, floor
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,7 +99,12 @@ def schedule(spark: SparkSession, segments: list[dict]) -> DataFrame:
         names = sorted(s["sources"])
         own = [s["sources"][k] for k in names]
         rows.append((n, s["slot"], s["length"], names, [first for first, _ in own], [[r for r, _ in x] for _, x in own], [[d for _, d in x] for _, x in own]))
-    plan = spark.createDataFrame(rows, "segment int, slot long, length int, names array<string>, start array<long>, releases array<array<long>>, deadlines array<array<long>>")
+    longs = pa.list_(pa.int64())
+    kinds = {"segment": pa.int32(), "slot": pa.int64(), "length": pa.int32(), "names": pa.list_(pa.string()), "start": longs, "releases": pa.list_(longs), "deadlines": pa.list_(longs)}
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    table_ = pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds.values(), strict=True)], list(kinds))
+    # an Arrow table needs no Python workers, which would wait beside those of later stages; dealt out, else the driver would fold it
+    plan = spark.createDataFrame(table_).repartition(spark.sparkContext.defaultParallelism, "segment")
     # the array of one element: the pick is worked out once a slot, not once a source
     step = "(s, t) -> transform(array({pick}), p -> IF(p IS NULL, s, named_struct('done', transform(s.done, (x, i) -> x + CAST(i = p AS INT)), 'order', concat(s.order, array(p)))))[0]"
     pick = "array_min(transform(filter(sequence(0, size(names) - 1), i -> get(get(releases, i), get(s.done, i)) <= slot + t), i -> named_struct('deadline', get(get(deadlines, i), get(s.done, i)), 'i', i))).i"

@@ -213,3 +213,14 @@ def test_stages_on_odd_rows(spark, odd, empty, sf):
             docs = stage(spark, docs, sf)
             assert docs.columns == odd.columns
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
+def test_schedule_starts_no_python_workers(spark):
+    """The plan of the mix comes as an Arrow table and is folded on the executors."""
+    segments = list(pfair_mixing.plan_segments({"a": 40, "b": 9}, {"a": 3, "b": 1}, 16))
+    df = pfair_mixing.schedule(spark, segments)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Exchange" in plan
+    rows = df.collect()
+    assert sorted(x.slot for x in rows) == list(range(49)) and all(x.release <= x.slot < x.deadline for x in rows)
+    assert pfair_mixing.schedule(spark, []).collect() == []

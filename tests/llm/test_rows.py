@@ -61,6 +61,27 @@ def test_measures_equal_brute_force(texts):
         assert (row.n_tokens, row.chars_per_token, row.byte_share, row.chars_per_token_2, row.byte_share_2, row.entropy_share) == pytest.approx(want, abs=1e-9)
 
 
+def test_batches_stay_as_they_arrive(spark):
+    """A batch is measured in slices, without Python objects or a copy of all its texts; a pandas function made both."""
+    import tracemalloc
+
+    r = random.Random(8)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    made = [None, "", *(" ".join(r.choices(vocabulary, k=2000)) for _ in range(2000)), None]
+    langs = [None, "en", *["en"] * 2000, None]
+    batch = pa.array(made, pa.string())
+    want = fertility_rules.measure(made, langs)
+    tracemalloc.start()
+    got = fertility_rules._measured(batch, pa.array(langs, pa.string()), {}, fertility_rules.VOCABULARIES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.to_pylist() == want.to_dict("records") and batch.nbytes > 15_000_000
+    assert peak < batch.nbytes
+    docs = spark.createDataFrame([(1, "a text", "en")], "doc_id long, text string, lang string")
+    plan = fertility_rules.keep_fluent(docs)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ArrowEvalPython .*, 250\b", plan), plan  # an Arrow function; 200 is a pandas function
+
+
 def test_each_measure_rejects(spark):
     """Bands that are fitted on good rows reject what lies outside in one measure alone."""
     r = random.Random(6)
